@@ -15,11 +15,14 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..packaging import ensure_shipped
+
 _LOCAL_DIR: str | None = None
 _WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,10 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, langid, secrets, simhash
 from .common import table
 
 
+def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.n_hit(F.col("runs"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        decontaminate.items_digest(F.col("items")).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op4_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        *(secrets.n_of(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("parts")).alias("spans"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -22,11 +59,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_wu_manber": op3_wu_manber,
+    "op4_hyperdimensional": op4_hyperdimensional,
+    "op6_word_bpe": op6_word_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_secret_links": op9_secret_links,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_wu_manber": r"""
+        WITH w AS (
+            SELECT 'd' AS side, row_number() OVER () AS row_no, doc_id AS id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+            UNION ALL
+            SELECT 'b', row_number() OVER (), item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        p AS (
+            SELECT id AS item_id, least(len(ws), 10) AS n,
+                   unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS win
+            FROM w WHERE side = 'b' AND len(ws) > 0),
+        l AS (SELECT DISTINCT n FROM p),
+        dw AS (
+            SELECT row_no, n, unnest(range(1, len(ws) - n + 2)) AS pos,
+                   unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS win
+            FROM w, l WHERE side = 'd' AND len(ws) >= n),
+        h AS (SELECT dw.row_no, dw.pos, dw.n, p.item_id FROM dw JOIN p ON dw.win = p.win AND dw.n = p.n),
+        c AS (SELECT row_no, count(DISTINCT k) AS n_hit FROM (SELECT row_no, unnest(range(pos, pos + n)) AS k FROM h) GROUP BY 1),
+        i AS (SELECT row_no, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+              FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS s FROM h) GROUP BY 1)
+        SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN c USING (row_no) LEFT JOIN i USING (row_no) WHERE side = 'd'""",
     "op7_exact_dedup": r"""
         WITH r AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_points,
