@@ -1,13 +1,15 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are split into words with the tokenizer's own normaliser and pattern;
-   each partition reduces its words to distinct ones with counts, and one
-   shuffle reduces them to distinct words overall.
-2. Every distinct word is encoded once and the table (word, ids) is written.
-3. Ids are joined back by position: the most frequent words of the table, up to
-   a bound in bytes, go to the executors; a word beyond the bound is encoded
-   where it is met. Ids become pieces through the id-to-piece table, whose size
-   the vocabulary fixes.
+1. Texts are split into words at white space; each task reduces its words to
+   distinct ones with counts, and one shuffle reduces them over the corpus.
+2. Of the table of distinct words the most frequent, up to a bound in bytes, are
+   encoded once each, in Spark, and shared with all workers. A rarer word is
+   encoded where it is met, once for each block of texts that has it.
+3. Ids are joined back by position. Ids become pieces through the id-to-piece
+   table, whose size the vocabulary fixes.
+
+Only whole words go to the tokenizer: no id depends on what stands beyond white
+space, which :class:`WordCodec` checks of the tokenizer that it is given.
 """
 
 from __future__ import annotations
@@ -15,54 +17,65 @@ from __future__ import annotations
 import hashlib
 import json
 import pickle
-import sys
+import re
+import unicodedata
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bytes of words and ids that are sent to every executor.
-SHARED_BYTES = 16 << 20
-#: Words that a worker remembers besides; then it starts afresh.
-CACHE_WORDS = 400_000
+#: Bytes of words and ids that are sent to every worker.
+SHARED_BYTES = 24 << 20
+#: Distinct words that a task counts before it hands them on.
+COUNTED_WORDS = 400_000
+#: Characters of texts that are encoded together.
+BLOCK_CHARS = 4 << 20
 
 
 class WordCodec:
-    """A word-level view of a tokenizer whose ids depend on single words only:
-    special tokens cut the text, the normaliser folds each part, a pattern finds
-    the words, and no word's ids depend on its neighbours."""
+    """A word-level view of a tokenizer file.
+
+    Special tokens cut a text wherever their strings stand; the rest is split at
+    the characters that the normaliser takes for white space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        plain = all(t["special"] and not t["normalized"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
-        splits = spec["pre_tokenizer"]["pretokenizers"]
-        if not plain or spec["post_processor"] or spec["decoder"] or splits[0]["behavior"] != "Removed" or not splits[0]["invert"]:
+        added = spec["added_tokens"]
+        plain = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        if not plain or spec["post_processor"] or spec["decoder"] or split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("this tokenizer's ids are not a function of single words")
-        self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.fold = self.tokenizer.normalizer.normalize_str
+        self.specials = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        longest = sorted(self.specials, key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, longest))) if longest else None
+        white = [chr(c) for c in range(0x3001) if chr(c).isspace() or unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp", "Cc")]
+        blank = {c for c in white if self.tokenizer.normalizer.normalize_str(f"a{c}b") == "a b"}
+        # str.split() also splits where the tokenizer does not; such texts take the slow way
+        self.odd = re.compile("[" + "".join(map(re.escape, (c for c in white if c.isspace() != (c in blank)))) + "]")
+        self.has_odd = any(c.isspace() != (c in blank) for c in white)
+        self.slow = re.compile("[^" + "".join(map(re.escape, sorted(blank))) + "]+").findall
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = [self.tokenizer.id_to_token(i) for i in range(size)]
 
+    def words(self, part: str) -> list[str]:
+        return self.slow(part) if self.has_odd and self.odd.search(part) else part.split()
+
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text's parts; whether each is a special token."""
         at = 0
-        if self.cut and "<|" in text or self.cut and not all(s.startswith("<|") for s in self.specials):
+        if self.cut and any(s in text for s in self.specials):
             for m in self.cut.finditer(text):
                 if m.start() > at:
                     yield text[at : m.start()], False
@@ -71,12 +84,14 @@ class WordCodec:
         if at < len(text):
             yield text[at:] if at else text, False
 
-    def words(self, part: str) -> list[str]:
-        return self.find(self.fold(part))
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit integers."""
+        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False, is_pretokenized=False)
-        return [tuple(e.ids) for e in found]
+    def decode(self, ids: bytes) -> str:
+        pieces = self.pieces
+        return " ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 _CODECS: dict[str, WordCodec] = {}
@@ -88,74 +103,96 @@ def codec(path: str) -> WordCodec:
     return _CODECS[path]
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): every distinct word of the texts, its count and ids."""
+def word_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(word, n): the distinct words of all texts."""
 
-    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = codec(path), Counter()
         for batch in batches:
             for text in batch.column(0):
                 for part, special in own.parts(text.as_py() or ""):
                     if not special:
                         seen.update(own.words(part))
-                if len(seen) > CACHE_WORDS:
+                if len(seen) > COUNTED_WORDS:
                     yield _counted(seen)
                     seen = Counter()
         if seen:
             yield _counted(seen)
 
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for batch in batches:
-            ids = own.encode_words(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    counted = docs.select("text").mapInArrow(split, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialize(docs.sparkSession, counted.mapInArrow(encode, "word string, n long, ids array<int>"), "word-ids")
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
-def frequent_words(words: DataFrame, shared_bytes: int = SHARED_BYTES) -> bytes:
-    """The most frequent words with their ids, compressed, at most so many bytes
-    before compression. The cut is a count: words of one count stay together, and
-    counts come from one small histogram."""
-    cost = F.octet_length("word") + 4 * F.size("ids") + 8
-    # a histogram over powers of the count has 64 rows at most
-    step = F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("step")
-    sizes = words.groupBy(step).agg(F.sum(cost).alias("b")).orderBy(F.desc("step")).collect()
-    least, total = None, 0
-    for r in sizes:
-        total += r["b"]
-        if total > shared_bytes:
-            break
-        least = r["step"]
-    rows: list[tuple[str, list[int]]] = []
-    if least is not None:
-        rows = [(r[0], r[1]) for r in words.filter(F.col("n") >= 2**least).select("word", "ids").toLocalIterator()]
-    return zlib.compress(pickle.dumps({w: tuple(ids) for w, ids in rows}), 1)
-
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids) for distinct words, each encoded once."""
 
-_SHARED: dict[int, dict[str, tuple[int, ...]]] = {}
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            ids = own.encode(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
 
+    return words.select("word").mapInArrow(run, "word string, ids binary")
 
-class _Lookup(dict):
-    """word -> ids; encodes a word that is missing and remembers it for a while."""
 
-    def __init__(self, own: WordCodec, shared: dict[str, tuple[int, ...]]):
-        super().__init__()
-        self.own, self.shared = own, shared
+def shared_words(docs: DataFrame, path: str, shared_bytes: int = SHARED_BYTES) -> bytes:
+    """The most frequent distinct words with their ids, pickled and compressed.
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.shared.get(word)
-        if ids is None:
-            ids = self.own.encode_words([word])[0]
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+    The cut is by powers of two of the count, read from a histogram of at most 64
+    rows; a single-use word is never shared. What comes to the driver is bounded
+    by ``shared_bytes`` however large the corpus is.
+    """
+    counts = materialize(docs.sparkSession, word_counts(docs, path).filter("n > 1"), "word-counts")
+    step = (F.length(F.bin("n")) - 1).alias("step")
+    # about one id for three bytes of a word
+    cost = F.sum(F.octet_length("word") * 7 / 3 + 8)
+    least, total = None, 0.0
+    for r in counts.groupBy(step).agg(cost.alias("b")).orderBy(F.desc("step")).collect():
+        total += r["b"]
+        if total > shared_bytes:
+            break
+        least = r["step"]
+    if least is None:
+        return zlib.compress(pickle.dumps({}), 1)
+    head = materialize(docs.sparkSession, encode_words(counts.filter(F.col("n") >= 1 << least), path), "word-ids")
+    return zlib.compress(pickle.dumps({r[0]: bytes(r[1]) for r in head.toLocalIterator()}), 1)
+
+
+_SHARED: dict[int, dict[str, bytes]] = {}
+
+
+def _blocks(texts: pa.Array) -> Iterator[list[str]]:
+    own: list[str] = []
+    size = 0
+    for t in texts:
+        own.append(t.as_py() or "")
+        size += len(own[-1])
+        if size > BLOCK_CHARS:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def _encode_block(own: WordCodec, known: dict[str, bytes], texts: list[str]) -> Iterator[bytes]:
+    """Ids of each text; words that are not known are encoded once for the block."""
+    split = [[(own.specials[p] if special else own.words(p)) for p, special in own.parts(t)] for t in texts]
+    new = {w for parts in split for ws in parts if not isinstance(ws, bytes) for w in ws if w not in known}
+    rare: dict[str, bytes] = {}
+    if new:
+        listed = list(new)
+        rare = dict(zip(listed, own.encode(listed)))
+    for parts in split:
+        out = []
+        for ws in parts:
+            if isinstance(ws, bytes):
+                out.append(ws)
+            else:
+                out += [known.get(w) or rare[w] for w in ws] if rare else map(known.__getitem__, ws)
+        yield b"".join(out)
 
 
 def encode_texts(docs: DataFrame, path: str, shared_bytes: int = SHARED_BYTES, output: str = "digest") -> DataFrame:
@@ -168,46 +205,35 @@ def encode_texts(docs: DataFrame, path: str, shared_bytes: int = SHARED_BYTES, o
     Null counts as empty: no ids, empty decoded text. Repeated rows are encoded
     each, an empty table gives no rows, and only doc_id and text are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_words(word_table(docs, path), shared_bytes))
-    digest, key = output == "digest", hash((path, shared_bytes, id(shared)))
+    shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, path, shared_bytes))
+    digest, key = output == "digest", shared.id if hasattr(shared, "id") else id(shared)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         if key not in _SHARED:
             _SHARED.clear()
-            _SHARED[key] = _Lookup(own, pickle.loads(zlib.decompress(shared.value)))
-        ids_of, pieces = _SHARED[key].__getitem__, own.pieces
+            _SHARED[key] = pickle.loads(zlib.decompress(shared.value))
+        known = _SHARED[key]
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for text in batch.column(1):
-                ids = array("I")
-                for part, special in own.parts(text.as_py() or ""):
-                    if special:
-                        ids.append(own.specials[part])
+            at = 0
+            for texts in _blocks(batch.column(1)):
+                out: list[list] = [[], [], []]
+                for ids in _encode_block(own, known, texts):
+                    decoded = own.decode(ids)
+                    if digest:
+                        out[0].append(len(ids) // 4)
+                        out[1].append(hashlib.sha256(ids).hexdigest())
+                        out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                     else:
-                        ids.extend(chain.from_iterable(map(ids_of, own.words(part))))
-                decoded = " ".join([pieces[i] for i in ids])
+                        out[0].append(np.frombuffer(ids, "<u4").astype(np.int32))
+                        out[1].append(decoded)
                 if digest:
-                    out[0].append(len(ids))
-                    out[1].append(hashlib.sha256(_little(ids)).hexdigest())
-                    out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
+                    columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
                 else:
-                    out[0].append(ids.tolist())
-                    out[1].append(decoded)
-            if digest:
-                columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-            else:
-                columns = [pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
+                    columns = [pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=["doc_id", *names])
+                at += len(texts)
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}")
-
-
-def _little(ids: array) -> bytes:
-    if sys.byteorder != "little":
-        ids = array("I", ids)
-        ids.byteswap()
-    return ids.tobytes()
-
