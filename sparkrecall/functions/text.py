@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -30,16 +35,17 @@ def compile_fts_query(q: Column, mode: str = "fts5") -> Column:
     quoted = (q.startswith('"') & q.endswith('"')) | (q.startswith("'") & q.endswith("'"))
     inner = F.when(F.length(q) <= 1, "").otherwise(F.substring(q, F.lit(2), F.greatest(F.length(q) - 2, F.lit(0))))
     phrase = F.concat(F.lit('"'), F.replace(inner, F.lit('"'), F.lit('""')), F.lit('"'))
-    clean = strip(sanitize_for_searchable(sanitize_fts(q)))
-    one = F.concat(clean, F.lit("*"))
-    if mode == "fts5":
-        tokens = F.split(clean, r"(?U)\s+")
-        plain = F.when(F.size(tokens) > 1, F.array_join(tokens, " OR ")).when(is_alnum(clean), one).otherwise(clean)
-    else:
-        plain = F.when(~clean.contains(" ") & is_alnum(clean), one).otherwise(clean)
-    return F.struct(
-        F.when(quoted, phrase).when(clean == "", "").otherwise(plain).alias("match"), (quoted | (clean != "")).alias("ok")
-    )
+
+    def compiled(clean: Column) -> Column:
+        one = F.concat(clean, F.lit("*"))
+        if mode == "fts5":
+            tokens = F.split(clean, r"(?U)\s+")
+            plain = F.when(F.size(tokens) > 1, F.array_join(tokens, " OR ")).when(is_alnum(clean), one).otherwise(clean)
+        else:
+            plain = F.when(~clean.contains(" ") & is_alnum(clean), one).otherwise(clean)
+        return F.struct(F.when(quoted, phrase).when(clean == "", "").otherwise(plain).alias("match"), (quoted | (clean != "")).alias("ok"))
+
+    return let(strip(sanitize_for_searchable(sanitize_fts(q))), compiled)
 
 
 def _any(*words: str) -> str:
@@ -76,17 +82,24 @@ ROUTES = ("entity", "lexical", "semantic", "temporal")
 
 def decide_route(signals: Column) -> Column:
     """struct(route, confidence, entity, lexical, semantic, temporal)."""
+    return let(let(signals, _route_scores), _best_route)
+
+
+def _route_scores(signals: Column) -> Column:
     pick = lambda cond, yes: F.when(cond, F.lit(float(yes))).otherwise(0.0)
     n, intent, ask = signals["token_count"], signals["intent"], signals["is_question"]
     has = intent.isNotNull()
     recall = F.coalesce(intent.isin(*_RECALL), F.lit(False))
     explain = F.coalesce(intent.isin(*_EXPLAIN), F.lit(False))
-    scores = {
-        "entity": pick(signals["has_entity"], 3),
-        "lexical": pick(n <= 3, 2) + pick(~ask, 1),
-        "semantic": pick(ask, 2) + pick(n >= 6, 2) + pick(explain, 1.5) + pick(has & ~recall & ~explain, 0.5) + 0.1,
-        "temporal": pick(signals["has_recency"], 3) + pick(recall, 1),
-    }
+    return F.struct(
+        pick(signals["has_entity"], 3).alias("entity"),
+        (pick(n <= 3, 2) + pick(~ask, 1)).alias("lexical"),
+        (pick(ask, 2) + pick(n >= 6, 2) + pick(explain, 1.5) + pick(has & ~recall & ~explain, 0.5) + 0.1).alias("semantic"),
+        (pick(signals["has_recency"], 3) + pick(recall, 1)).alias("temporal"),
+    )
+
+
+def _best_route(scores: Column) -> Column:
     best = F.array_max(F.array(*[F.struct(scores[r].alias("s"), F.lit(-k).alias("o"), F.lit(r).alias("r")) for k, r in enumerate(ROUTES)]))
     total = scores["entity"] + scores["lexical"] + scores["semantic"] + scores["temporal"]
     return F.struct(best["r"].alias("route"), (best["s"] / total).alias("confidence"), *[scores[r].alias(r) for r in ROUTES])
