@@ -99,48 +99,50 @@ def _keys(fp: F.Column, radius: int) -> F.Column:
 
 
 class BitPlanes:
-    """Fingerprints stored vertically: plane i holds bit i of each of them."""
+    """Fingerprints stored vertically: plane i holds bit i of each of them.
+    ``fps`` are rows of bytes, all of one width."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps, self.n = fps.astype(np.uint64), len(fps)
-        bits = np.unpackbits(self.fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        self.planes = [
-            int.from_bytes(np.packbits(bits[:, 63 - i], bitorder="little").tobytes(), "little") for i in range(64)
-        ]
+        self.n = len(fps)
+        self.bits = np.unpackbits(fps, axis=1)
+        packed = np.packbits(self.bits, axis=0, bitorder="little")
+        self.planes = [int.from_bytes(packed[:, i].tobytes(), "little") for i in range(self.bits.shape[1])]
         self.all = (1 << self.n) - 1
 
-    def within(self, fp: int, radius: int) -> int:
-        """Set of positions at distance <= radius. Counters start so that they
-        overflow on the first difference beyond the radius."""
-        width = (radius + 1).bit_length()
-        if radius + 1 == 1 << (width - 1):
-            width -= 1
+    def within(self, k: int, radius: int) -> int:
+        """Set of positions at distance <= radius of position k. Counters start so
+        that they overflow on the first difference beyond the radius."""
+        width = max(1, radius.bit_length())
         bias = (1 << width) - 1 - radius
-        count = [self.all if bias >> k & 1 else 0 for k in range(width)]
-        over = 0
-        for i, plane in enumerate(self.planes):
-            carry = plane ^ self.all if fp >> i & 1 else plane
-            for k in range(width):
-                count[k], carry = count[k] ^ carry, count[k] & carry
+        count = [self.all if bias >> j & 1 else 0 for j in range(width)]
+        over, full = 0, self.all
+        for plane, own in zip(self.planes, self.bits[k].tolist()):
+            carry = plane ^ full if own else plane
+            for j in range(width):
+                count[j], carry = count[j] ^ carry, count[j] & carry
                 if not carry:
                     break
             else:
                 over |= carry
-                if over == self.all:
+                if over == full:
                     return 0
-        return self.all & ~over
+        return full & ~over
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges (root, member) by position that span the links among ``fps``."""
+    """Edges (root, member) by position that span the links among ``fps`` (rows
+    of bytes). Two are compared directly."""
     n, edges = len(fps), []
+    if n == 2:
+        near = np.unpackbits(fps[0] ^ fps[1]).sum() <= radius
+        return [(0, 1)] if near else []
     planes, unseen = BitPlanes(fps), (1 << n) - 1
     while unseen:
         root = (unseen & -unseen).bit_length() - 1
         unseen &= unseen - 1
         todo = [root]
         while todo and unseen:
-            found = planes.within(int(planes.fps[todo.pop()]), radius) & unseen
+            found = planes.within(todo.pop(), radius) & unseen
             unseen &= ~found
             while found:
                 low = found & -found
@@ -151,6 +153,10 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _rows_of_bytes(fps: np.ndarray) -> np.ndarray:
+    return fps.astype(np.int64).astype(">i8").view(np.uint8).reshape(-1, 8)
+
+
 def link(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (a, b) whose components are those of "within ``radius`` bits".
 
@@ -178,7 +184,7 @@ def link(distinct: DataFrame, radius: int = 3) -> DataFrame:
                         a.append(x)
                         b.append(y)
                     continue
-                for i, j in forest(own.view(np.uint64), radius):
+                for i, j in forest(_rows_of_bytes(own), radius):
                     a.append(int(own[i]))
                     b.append(int(own[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -186,6 +192,19 @@ def link(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return grid.filter("size(fps) > 1").select("fps").mapInArrow(run, "a long, b long")
 
 
+def _assign(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Give each row (doc_id, fp) the smallest doc_id of the component of its fp."""
+    spark = rows.sparkSession
+    reps = materialize(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fps")
+    labels = materialize(spark, connected_components(edges), "labels")
+    named = reps.join(labels.hint("merge"), reps["fp"] == labels["node"], "left")
+    named = materialize(spark, named.select("fp", "rep", "label"), "named")
+    least = materialize(spark, named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("low")), "least")
+    ids = named.join(least.hint("merge"), "label", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    ids = materialize(spark, ids, "component-ids")
+    return rows.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+
+
 def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``.
 
@@ -195,21 +214,134 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
     repeated in full stay repeated; an empty table gives no rows; no column but
     the two named is read.
     """
-    spark = docs.sparkSession
-    rows = materialize(spark, fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    reps = materialize(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fps")
-    labels = materialize(spark, connected_components(link(reps.select("fp"), radius)), "labels")
-    named = reps.join(labels.hint("merge"), reps["fp"] == labels["node"], "left")
-    named = materialize(spark, named.select("fp", "rep", "label"), "named")
-    least = materialize(spark, named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("low")), "least")
-    ids = named.join(least.hint("merge"), "label", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    ids = materialize(spark, ids, "component-ids")
-    return rows.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    rows = materialize(docs.sparkSession, fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    return _assign(rows, link(rows.select("fp").distinct(), radius))
+
+
+# --- similarity of shingle sets -------------------------------------------------
+#
+# A radius of 3 in 64 bits finds copies that hardly differ. Texts whose sets of
+# shingles have a Jaccard similarity of 0.8 differ in about 15 % of the bits of a
+# fingerprint, too many for whole blocks to agree. Fingerprints are then WIDE
+# bits long, so that the share of differing bits tells the similarity closely,
+# and candidates come from bands of MinHash values. All else is as above.
+
+LANES, BANDS, BAND_ROWS = 8, 12, 4
+WIDE = 64 * LANES
+_MIX = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def radius_of(similarity: float) -> int:
+    """Bits that differ on average between equally large sets of that Jaccard
+    similarity, and a third of a standard deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * share + np.sqrt(WIDE * share * (1 - share)) / 3)
+
+
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """A further 64 bits from a hash (the finaliser of SplitMix64)."""
+    x = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(data: bytes, shingle: int) -> np.ndarray:
+    """Distinct XXH64 hashes of the word shingles of a UTF-8 text."""
+    digest, keep = xxhash.xxh64_intdigest, shingle - 1
+    parts: list[np.ndarray] = []
+    tail: list[bytes] = []
+    for words in word_blocks(data.lower()):
+        words = tail + words
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+            ends = np.cumsum(lens + 1) - 1
+            spans = zip((ends - lens)[: len(words) - keep].tolist(), ends[keep:].tolist())
+            parts.append(np.unique(np.array([digest(joined[s:e], 42) for s, e in spans], dtype=np.uint64)))
+        tail = words[-keep:] if keep else []
+    if not parts:
+        return np.array([digest(b" ".join(tail), 42)] if tail else [], dtype=np.uint64)
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """WIDE bits by majority over a set of hashes, and one key per band; an empty
+    set has fingerprint 0 and one key of its own."""
+    n = len(hashes)
+    if not n:
+        return bytes(WIDE // 8), [0]
+    counts = np.zeros(WIDE, dtype=np.int64)
+    low = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, n, 4096):
+        part = hashes[at : at + 4096]
+        wide = np.stack([_mixed(part, k) for k in range(LANES)], axis=1)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.uint16)
+        low = np.minimum(low, (part[:, None] * _MIX[0] + _MIX[1]).min(axis=0))
+    keys = []
+    for b in range(BANDS):
+        own = low[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes()
+        keys.append(xxhash.xxh64_intdigest(own, b) - (1 << 63))
+    return np.packbits(2 * counts > n).tobytes(), keys
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp, wide, keys); fp stands for wide in joins."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(shingle_set((t.as_py() or "").encode(), shingle)) for t in batch.column(1)]
+            fp = [xxhash.xxh64_intdigest(w, 7) - (1 << 63) for w, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fp, pa.int64()), pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "wide", "keys"],
+            )
+
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
+    return out.mapInArrow(run, "doc_id long, fp long, wide binary, keys array<long>")
+
+
+def link_wide(distinct: DataFrame, radius: int) -> DataFrame:
+    """As :func:`link`, for (fp, wide, keys)."""
+    spark = distinct.sparkSession
+    keyed = distinct.select("fp", F.explode("keys").alias("key")).distinct()
+    shared = materialize(spark, keyed.groupBy("key").count().filter("count > 1"), "shared-bands")
+    dealt = keyed.join(shared.hint("merge"), "key").withColumn("g", F.ceil(F.col("count") / CHUNK).cast("int"))
+    chunk = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
+    dealt = dealt.select("fp", "key", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    dealt = dealt.join(distinct.select("fp", "wide").hint("merge"), "fp")
+    grid = dealt.groupBy("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi")).agg(
+        F.collect_list(F.struct("fp", "wide")).alias("fps")
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a: list[int] = []
+            b: list[int] = []
+            for row in batch.column(0):
+                own = row.values
+                ids = own.field(0).to_pylist()
+                wide = np.frombuffer(b"".join(own.field(1).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+                for i, j in forest(wide, radius):
+                    a.append(ids[i])
+                    b.append(ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return grid.filter("size(fps) > 1").select("fps").mapInArrow(run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) as :func:`near_components`, linking texts whose
+    sets of ``shingle``-word shingles have about ``similarity`` or more."""
+    rows = materialize(docs.sparkSession, wide_fingerprints(docs, shingle), "wide-fingerprints")
+    distinct = rows.groupBy("fp").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys"))
+    distinct = materialize(docs.sparkSession, distinct, "distinct-wide")
+    return _assign(rows.select("doc_id", "fp"), link_wide(distinct, radius_of(similarity)))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the
-    smallest doc_id. Rows that repeat that id stay together."""
-    kept = near_components(docs, shingle, radius).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = materialize(docs.sparkSession, kept, "near-kept")
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of similar texts the
+    document with the smallest doc_id. Rows that repeat that id stay together."""
+    kept = similar_components(docs, shingle, similarity).filter("doc_id <=> component_id")
+    kept = materialize(docs.sparkSession, kept.select(F.col("doc_id").alias("_id")).distinct(), "near-kept")
     return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")

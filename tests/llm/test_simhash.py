@@ -4,7 +4,16 @@ import re
 import numpy as np
 import xxhash
 
-from sparkrecall.llm.simhash import BitPlanes, fingerprints, forest, near_components, near_dedup, shingle_fingerprint
+from sparkrecall.llm.simhash import (
+    BitPlanes,
+    _rows_of_bytes,
+    fingerprints,
+    forest,
+    near_components,
+    near_dedup,
+    shingle_fingerprint,
+    similar_components,
+)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -69,12 +78,46 @@ def test_bit_planes_match_popcounts():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(0xF0F), base ^ np.uint64(1 << 63)])
-    planes = BitPlanes(fps)
-    for radius in (0, 1, 2, 3, 4, 7, 10, 12):
-        for q in map(int, fps[::7]):
-            want = sum(1 << i for i, f in enumerate(map(int, fps)) if (f ^ q).bit_count() <= radius)
-            assert planes.within(q, radius) == want
-    assert len(forest(fps, 3)) == len(fps) - 40 - 40 + 0
+    rows = _rows_of_bytes(fps.view(np.int64))
+    planes = BitPlanes(rows)
+    for radius in (0, 1, 2, 3, 4, 7, 10, 12, 80):
+        for k in range(0, len(fps), 7):
+            want = sum(1 << i for i, f in enumerate(map(int, fps)) if (f ^ int(fps[k])).bit_count() <= radius)
+            assert planes.within(k, radius) == want
+    assert len(forest(rows, 3)) == 80  # base, base ^ 5 and base with the top bit set
+
+
+def jaccard(a, b, k=5):
+    def sh(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {" ".join(w)}
+
+    return len(sh(a) & sh(b)) / len(sh(a) | sh(b))
+
+
+def test_similar_texts_link_and_others_stay(words, docs_of):
+    rnd, texts, base = random.Random(8), [], []
+    line = " ".join(rnd.choices(words, k=12))
+    for _ in range(60):
+        w = rnd.choices(words, k=rnd.randint(120, 500))
+        base.append(len(texts))
+        texts.append(" ".join([line, *w]))
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rnd.choice([1, 2, 20])):
+                v[rnd.randrange(len(v))] = "changed%d" % rnd.randrange(10**6)
+            texts.append(" ".join([line, *v]))
+    got = {r["doc_id"]: r["component_id"] for r in similar_components(docs_of(texts)).collect()}
+    for b in base:
+        for i in range(b, b + 4):
+            j = max(jaccard(texts[i], texts[k]) for k in range(b, b + 4) if k != i)
+            if j >= 0.88:
+                assert any(got[i] == got[k] for k in range(b, b + 4) if k != i), j
+            if j < 0.65:
+                assert got[i] == i
+    assert all(got[i] // 4 == i // 4 for i in got)
+    kept = {r["doc_id"] for r in near_dedup(docs_of(texts)).collect()}
+    assert kept == {i for i in got if got[i] == i}
 
 
 def test_chain_of_links_is_one_component(spark, docs_of, monkeypatch):
