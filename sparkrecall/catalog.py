@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import control, redaction, scoring, text, vectors
-from .operators import bm25, fusion, graph, models, rerank, search, tokens
+from .operators import bm25, dispatcher, fusion, graph, models, rerank, search, tokens
 from .operators.vector_index import VectorIndex
 from .packaging import ensure_shipped
 from .plans.search import hybrid_search
@@ -434,6 +434,17 @@ def pack_batches(spark, t):
     return tokens.pack_batches(rows, 8192)
 
 
+@query()
+def coalesce_jobs(spark, t):
+    """Every event is a job of its user's queue; windows of an hour, caps of 2,048 tokens."""
+    at = F.col("ts").cast("timestamp").cast("double")
+    jobs = t("events").select(
+        F.col("user_id").alias("queue"), F.col("event_id").alias("seq"), at.alias("at"), (F.col("value") * 10 + 1).cast("int").alias("tokens"),
+        F.when(F.col("event_type") == "error", at + 60).alias("deadline"),
+    )
+    return dispatcher.coalesce(jobs, dispatcher.DispatcherConfig(window_ms=3_600_000))
+
+
 @query()
 def plan_windows(spark, t):
     return tokens.token_windows(t("documents").select("doc_id", "text"), "text", 512, 64)

@@ -104,3 +104,32 @@ def replay_breaker(calls: DataFrame, threshold: int = 5, cooldown: float = 10.0)
     ordered = calls.select("key", "seq", "at", "ok").repartition("key").sortWithinPartitions("key", "at", "seq")
     kind = dict(calls.dtypes)
     return ordered.mapInPandas(run, f"key {kind['key']}, seq {kind['seq']}, admitted boolean, state string, failures int")
+
+
+def stream_breaker(calls: DataFrame, threshold: int = 5, cooldown: float = 10.0) -> DataFrame:
+    """Streaming counterpart of :func:`replay_breaker`: one breaker per key in the
+    state store, calls folded in order of (at, seq) within each micro-batch."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, frames, state):
+        own = Breaker(threshold, cooldown)
+        if state.exists:
+            own.phase, own.since, own.failures = state.get
+        out = []
+        rows = sorted((r.at, r.seq, r.ok) for pdf in frames for r in pdf.itertuples(index=False))
+        for at, seq, ok in rows:
+            admitted = own.admit(at)
+            if admitted:
+                own.record(bool(ok), at)
+            out.append((key[0], seq, admitted, own.state(at), own.failures))
+        state.update((own.phase, own.since, own.failures))
+        yield pd.DataFrame(out, columns=["key", "seq", "admitted", "state", "failures"])
+
+    kind = dict(calls.dtypes)
+    return calls.groupBy("key").applyInPandasWithState(
+        step,
+        f"key {kind['key']}, seq {kind['seq']}, admitted boolean, state string, failures int",
+        "phase string, since double, failures int",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )

@@ -61,6 +61,24 @@ class VectorIndex:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
+    def save(self, path: str) -> str:
+        """Write a new version below ``path``; readers of older ones go on."""
+        import time
+
+        version = f"{path}/v{time.time_ns():020d}"
+        self.rows.write.parquet(version)
+        return version
+
+    @classmethod
+    def load(cls, spark, path: str, dim: int) -> "VectorIndex":
+        """The newest complete version below ``path``."""
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [str(s.getPath()) for s in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_SUCCESS"))]
+        if not done:
+            raise FileNotFoundError(f"no index below {path}")
+        return cls(dim, spark.read.parquet(max(done)))
+
     def count(self) -> int:
         return 0 if self.rows is None else self.rows.count()
 

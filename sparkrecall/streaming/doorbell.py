@@ -204,3 +204,47 @@ def stream(events: DataFrame, window: float = 2.5, keep: float = 3600.0) -> Data
     return events.groupBy("key").applyInPandasWithState(
         step, WAKE, "known boolean, lost long, pending string, since double, deadline double", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+MAX_RECIPIENTS, MAX_ORIGIN, MAX_WAIT, DEFAULT_WAIT = 1000, 128, 3600.0, 300.0
+
+
+def checked_rings(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ring requests (recipients array, origin) that count, one row for each
+    non-empty recipient, and those refused, with ``reason``."""
+    named = F.filter("recipients", lambda r: r != "")
+    reason = (
+        F.when(F.coalesce(F.size("recipients"), F.lit(0)) < 1, "no recipients")
+        .when(F.size("recipients") > MAX_RECIPIENTS, f"more than {MAX_RECIPIENTS} recipients")
+        .when(F.size(named) == 0, "only empty recipients")
+        .when(F.col("origin") == "", "empty origin")
+        .when(F.octet_length("origin") > MAX_ORIGIN, f"origin beyond {MAX_ORIGIN} bytes")
+        .when(F.col("origin").rlike(r"\p{Cntrl}"), "control characters in origin")
+    )
+    marked = requests.withColumn("reason", reason)
+    good = marked.filter("reason is null").withColumn("recipient", F.explode(named)).drop("reason", "recipients")
+    return good, marked.filter("reason is not null")
+
+
+def checked_waits(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Wait requests (readers array, timeout_s) with timeouts defaulted and
+    capped, and those refused."""
+    timeout = F.coalesce("timeout_s", F.lit(DEFAULT_WAIT))
+    reason = F.when(F.size(F.filter("readers", lambda r: r != "")) < 1, "no readers").when(
+        F.isnan(timeout) | (timeout < 0) | (timeout == float("inf")), "timeout is no non-negative number"
+    )
+    marked = requests.withColumn("reason", reason)
+    good = marked.filter("reason is null").drop("reason").withColumn("timeout_s", F.least(timeout, F.lit(MAX_WAIT)))
+    return good, marked.filter("reason is not null")
+
+
+def for_each_wake(wakes: DataFrame, command, checkpoint: str | None = None):
+    """Run ``command(row)`` on the driver for every wake of a stream; a batch of
+    wakes is as large as the number of reader sets that were woken."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        for row in batch.toLocalIterator():
+            command(row)
+
+    writer = wakes.writeStream.foreachBatch(run)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
