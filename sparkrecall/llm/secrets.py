@@ -42,41 +42,45 @@ WEAK = {
 }
 
 
+_NONE = "array<struct<start:int,k:int,end:int>>"
+
+
+def running_sums(values: Column, block: int = 512) -> Column:
+    """Sums up to and with each element. Arrays grow by copying, so sums run
+    within blocks, and the blocks' totals run by themselves: a text with very
+    many matches stays cheap."""
+    empty = F.array().cast("array<int>")
+
+    def run(xs: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
+        return F.aggregate(xs, F.struct(start.alias("at"), empty.alias("out")), step, lambda s: s["out"])
+
+    n = F.ceil(F.size(values) / block).cast("int")
+    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(values, (i - 1) * block + 1, block))
+    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
+    starts = F.zip_with(run(totals, F.lit(0)), totals, lambda upto, own: upto - own)
+    return F.when(F.size(values) > 0, F.flatten(F.zip_with(parts, starts, run))).otherwise(empty)
+
+
 def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """All leftmost non-overlapping matches of a pattern as sorted (start, end)
+    """All leftmost non-overlapping matches of a pattern as sorted (start, k, end)
     in code points. The pieces between matches and the matches themselves
     alternate, so their lengths add up to the positions."""
-    quoted = F.lit(pattern)
-    found = F.regexp_extract_all(text, quoted, F.lit(0))
-    measured = F.regexp_extract_all(text, quoted, F.lit(group)) if group else found
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    measured = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else found
     between = F.transform(F.split(text, pattern, -1), F.length)
-    walked = F.aggregate(
-        F.zip_with(F.zip_with(found, measured, lambda a, b: F.struct(F.length(a).alias("n"), F.length(b).alias("m"))), between, lambda f, g: F.struct(f.alias("f"), g.alias("g"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:int>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["g"] + F.coalesce(x["f"]["n"], F.lit(0))).alias("at"),
-            F.when(x["f"].isNull(), s["out"])
-            .otherwise(
-                F.concat(
-                    s["out"],
-                    F.array(
-                        F.struct(
-                            (s["at"] + x["g"]).alias("start"),
-                            (s["at"] + x["g"] + x["f"]["n"]).alias("end"),
-                            x["f"]["m"].alias("m"),
-                        )
-                    ),
-                )
-            )
-            .alias("out"),
-        ),
-        lambda s: s["out"],
+    # from one start to the next: the match before, then what lies between
+    steps = F.zip_with(F.slice(between, 1, F.size(found)), F.concat(F.array(F.lit(0)), found), lambda g, f: g + f)
+    steps = F.filter(steps, lambda x: x.isNotNull())
+    order = F.lit(KINDS.index(kind))
+    rows = F.zip_with(
+        F.zip_with(running_sums(steps), found, lambda s, n: F.struct(s.alias("start"), order.alias("k"), (s + n).alias("end"))),
+        measured,
+        lambda r, m: F.struct(r.alias("r"), m.alias("m")),
     )
-    kept = F.filter(walked, lambda x: x["m"] >= least)
-    order = KINDS.index(kind)
-    done = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("k"), x["end"].alias("end")))
+    done = F.transform(F.filter(rows, lambda x: x["m"] >= least), lambda x: x["r"])
     # most texts have no match: they pay one search and no arrays
-    return F.when(text.rlike(pattern), done).otherwise(F.array().cast("array<struct<start:int,k:int,end:int>>"))
+    return F.when(text.rlike(pattern), done.cast(_NONE)).otherwise(F.array().cast(_NONE))
 
 
 def joined(parts: Column) -> Column:
@@ -150,7 +154,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
     more = F.collect_list(F.struct("start", "k", "end")).alias("more")
     good = materialize(spark, link(parts, scope).groupBy(F.col("row").alias("_row")).agg(more), "linked-parts")
     out = found.join(good.hint("merge"), F.col("row") == F.col("_row"), "left")
-    none = F.array().cast("array<struct<start:int,k:int,end:int>>")
+    none = F.array().cast(_NONE)
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("parts"))
 
 

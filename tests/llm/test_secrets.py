@@ -25,7 +25,7 @@ def test_base_spans_against_regex(docs_of):
     rnd = random.Random(9)
     bits = ["password", "TOKEN", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "ABCD0123", "deadbeef", "0123456789abcdef", "secret", "é", "🎉", "x", "==", "\n", "A" * 12]
     texts = ["".join(rnd.choices(bits, k=rnd.randint(1, 60))) for _ in range(400)]
-    texts += [None, "", "token=secret: abcdefghijk", "é🎉 password = 'abcdefgh'", "x" * 500_000 + "AKIA" + "B" * 12, "password=" + "a" * 200_000]
+    texts += [None, "", "token=secret: abcdefghijk", "é🎉 password = 'abcdefgh'", "x" * 500_000 + "AKIA" + "B" * 12, "password=" + "a" * 200_000, "é token=abcdefgh " * 3000]
     got = spans_of(docs_of(texts).selectExpr("*", "1 as base", "2 as row"))
     assert {i: b for i, (b, _) in got.items()} == {i: brute(t) for i, t in enumerate(texts)}
     for b, p in got.values():
