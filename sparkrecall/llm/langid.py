@@ -204,13 +204,18 @@ def identify(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
 
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known: not ``und``
-    and with at least ``min_score``. Rows are filtered where they are read."""
+    and with at least ``min_score``. Rows are filtered where they are read. If no
+    language can be learned, every text with a letter stays."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            langs, scores = shared.value(batch.column(at))
-            yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores)], pa.bool_()))
+            if model.names:
+                keep = [x != "und" and s >= min_score for x, s in zip(*model(batch.column(at)))]
+            else:
+                keep = [any(map(str.isalpha, t.as_py() or "")) for t in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,6 +28,7 @@ def test_held_out_accuracy_and_edges(docs_of):
 def test_nothing_to_learn(docs_of):
     assert [r["lang_pred"] for r in identify(docs_of(["abc"], [None])).collect()] == ["und"]
     assert identify(docs_of([])).count() == 0
+    assert [r["text"] for r in keep_known(docs_of(["abc", "1", None], [None] * 3)).collect()] == ["abc"]
 
 
 def test_labels_are_not_inputs(docs_of):
