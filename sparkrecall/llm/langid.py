@@ -32,7 +32,7 @@ def _letter_classes() -> np.ndarray:
     import sys
     import unicodedata
 
-    out = np.zeros(sys.maxunicode + 1, dtype=np.int64)
+    out = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
     for c in range(sys.maxunicode + 1):
         if unicodedata.category(chr(c))[0] == "L":
             low = chr(c).lower()
@@ -50,7 +50,7 @@ class Encoder:
         self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
         self.classes, self.dim = _letter_classes(), dim
         self._at = np.full(128**3, -1, dtype=np.int32)
-        self._vectors = np.zeros((_CACHE_ROWS, dim), dtype=np.float32)
+        self._vectors = np.zeros((_CACHE_ROWS, dim), dtype=np.int8)
         self._n = 0
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -59,7 +59,7 @@ class Encoder:
         for at in range(0, len(text), PIECE):
             # one blank before and after; pieces overlap by two characters
             part = (" " if at == 0 else text[max(0, at - 2) : at]) + text[at : at + PIECE] + (" " if at + PIECE >= len(text) else "")
-            c = self.classes[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+            c = self.classes[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int32)
             any_letter = any_letter or bool(c.any())
             gap = c == 0
             c = c[~(gap & np.concatenate(([False], gap[:-1])))]  # one blank for any run of them
@@ -84,7 +84,7 @@ class Encoder:
         self._vectors[self._n : self._n + len(new)] = made
         self._at[new] = np.arange(self._n, self._n + len(new))
         self._n += len(new)
-        return self._vectors[self._at[codes]]
+        return self._vectors[self._at[codes]].astype(np.float32)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Unit vectors (zero for a text without letters), and which have letters."""
@@ -94,8 +94,8 @@ class Encoder:
             used = np.unique(np.concatenate([f[0] for f in found]))
             for k, f in enumerate(found):
                 letters[at + k] = f[2]
-            for lo in range(0, len(used), 4096):
-                part = used[lo : lo + 4096]
+            for lo in range(0, len(used), 2048):
+                part = used[lo : lo + 2048]
                 table = np.zeros((len(found), len(part)), dtype=np.float32)
                 for k, (codes, n, _) in enumerate(found):
                     a, b = np.searchsorted(codes, part[0]), np.searchsorted(codes, part[-1], side="right")
