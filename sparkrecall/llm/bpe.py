@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Bytes of words and ids that are sent to every worker.
-SHARED_BYTES = 24 << 20
+SHARED_BYTES = 12 << 20
 #: Distinct words that a task counts before it hands them on.
-COUNTED_WORDS = 400_000
+COUNTED_WORDS = 200_000
 #: Characters of texts that are encoded together.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 
 
 class WordCodec:
@@ -161,9 +161,6 @@ def shared_words(docs: DataFrame, path: str, shared_bytes: int = SHARED_BYTES) -
     return zlib.compress(pickle.dumps({r[0]: bytes(r[1]) for r in head.toLocalIterator()}), 1)
 
 
-_SHARED: dict[int, dict[str, bytes]] = {}
-
-
 def _blocks(texts: pa.Array) -> Iterator[list[str]]:
     own: list[str] = []
     size = 0
@@ -206,14 +203,11 @@ def encode_texts(docs: DataFrame, path: str, shared_bytes: int = SHARED_BYTES, o
     each, an empty table gives no rows, and only doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, path, shared_bytes))
-    digest, key = output == "digest", shared.id if hasattr(shared, "id") else id(shared)
+    digest = output == "digest"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        if key not in _SHARED:
-            _SHARED.clear()
-            _SHARED[key] = pickle.loads(zlib.decompress(shared.value))
-        known = _SHARED[key]
+        # the task's own copy: a worker that outlives the task keeps no words
+        own, known = codec(path), pickle.loads(zlib.decompress(shared.value))
         for batch in batches:
             at = 0
             for texts in _blocks(batch.column(1)):
