@@ -249,14 +249,17 @@ def fuse_then_mmr(spark, t):
     return fusion.fuse_then_mmr(near, _vec(t), 0.7, 10)
 
 
-_ROUTE = r"""
+_INTENTS = "|".join(("find", "search", "list", "show", *text._EXPLAIN, *text._RECALL))
+_WHEN = "|".join(("yesterday", "today", "tonight", "recently", "ago", "earlier", *(d.replace(" ", r"\s+") for d in text._DAYS)))
+_ASKS = ", ".join(f"'{w}'" for w in text._ASK)
+_ROUTE = rf"""
     WITH q AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ts,
-        lower(regexp_extract(text, '(?i)\b(find|search|compare|summarize|summarise|list|show|explain|define|recall|remember)\b', 1)) AS i FROM conversations),
+        lower(regexp_extract(text, '(?i)\b({_INTENTS})\b', 1)) AS i FROM conversations),
     s AS (SELECT conv_id, turn, len(ts)::INT AS token_count,
-        regexp_matches(text, '(?i)\b(yesterday|today|tonight|recently|last\s+(week|month|year|night)|ago|this\s+(week|month|morning)|earlier)\b') AS has_recency,
+        regexp_matches(text, '(?i)\b({_WHEN})\b') AS has_recency,
         regexp_matches(text, '"[^"]+"|\b[A-Z][a-z]+(\s+[A-Z][a-z]+)+\b') AS has_entity,
         nullif(i, '') AS intent,
-        regexp_matches(text, '\?\s*$') OR coalesce(lower(ts[1]) IN ('who','what','when','where','why','how','which','did','is','are','was','were'), false) AS is_question FROM q)"""
+        regexp_matches(text, '\?\s*$') OR coalesce(lower(ts[1]) IN ({_ASKS}), false) AS is_question FROM q)"""
 
 
 @query(_ROUTE + " SELECT * FROM s")
@@ -318,9 +321,7 @@ def bm25_topk(spark, t):
     return bm25.bm25_top_k(docs, items, 20).select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
 
 
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-_PHONE = r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
-_SSN = r"\b\d{3}-\d{2}-\d{4}\b"
+_EMAIL, _PHONE, _SSN = (p.removeprefix("(?U)") for p in redaction.GROUPS["pii"])
 
 
 @query(rf"""

@@ -31,7 +31,7 @@ GROUPS: dict[str, list[str]] = {
     "pii": [
         f"[{_ALNUM}%+._-]+@[{_ALNUM}.-]+\\.[a-zA-Z]{{2,}}",
         r"(?U)\b(?:[+]?1[\s.-]?)?[(]?\d{3}[)]?[\s.-]?\d{3}[\s.-]?\d{4}\b",
-        r"(?U)\b\d{3}-\d{2}-\d{4}\b",
+        r"(?U)\b\d\d\d-\d\d-\d{4}\b",
     ],
 }
 ORDER = ("api_keys", "bearer_tokens", "jwt", "aws_keys", "github_tokens", "custom_regex", "pii")

@@ -130,8 +130,8 @@ class Embedder:
             raise BackendError(f"{len(rows)} rows for {len(texts)} texts")
         return rows
 
-    def count_tokens(self, texts: list[str]) -> list[int]:
-        return [estimate(t) for t in texts]
+    def count_tokens(self, batch: list[str]) -> list[int]:
+        return list(map(estimate, batch))
 
     def embed(self, texts: list[str]) -> np.ndarray:
         for k, n in enumerate(self.count_tokens(texts)):

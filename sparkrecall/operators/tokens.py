@@ -13,7 +13,8 @@ MAX_CHARS_PER_TOKEN = 32
 
 
 def estimate(text: str) -> int:
-    return max(len(text.encode()) // 3, len(text)) + 2
+    chars, octets = len(text), len(text.encode())
+    return 2 + max(chars, octets // 3)
 
 
 def _last(lo: int, hi: int, fits: Callable[[int], bool]) -> int:
