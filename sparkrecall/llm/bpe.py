@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import pickle
 import re
 import unicodedata
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 
 #: Bytes of words and ids that are sent to every worker.
 SHARED_BYTES = 12 << 20
@@ -46,6 +47,8 @@ class WordCodec:
     """
 
     def __init__(self, path: str):
+        # one thread a task: more would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,8 +89,11 @@ class WordCodec:
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        out: list[bytes] = []
+        for at in range(0, len(words), 2048):
+            found = self.tokenizer.encode_batch(words[at : at + 2048], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
 
     def decode(self, ids: bytes) -> str:
         pieces = self.pieces
@@ -118,6 +124,8 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
                     seen = Counter()
         if seen:
             yield _counted(seen)
+        del seen
+        give_back()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -134,6 +142,7 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             ids = own.encode(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+        give_back()
 
     return words.select("word").mapInArrow(run, "word string, ids binary")
 
@@ -227,6 +236,8 @@ def encode_texts(docs: DataFrame, path: str, shared_bytes: int = SHARED_BYTES, o
                     columns = [pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=["doc_id", *names])
                 at += len(texts)
+        del known
+        give_back()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"

@@ -67,6 +67,20 @@ def release(spark: SparkSession) -> None:
         delete_path(spark, _WRITTEN.pop())
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks and
+    would otherwise hold the largest task's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """Words between ASCII white space, block by block, so that a very long
     text never becomes one huge list. Cuts fall on a space, tab or newline."""

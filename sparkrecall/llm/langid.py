@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, materialize
+from .common import give_back, is_held_out, materialize
 
 DIM, SEED, SCALE = 1024, 20240229, 1 << 20
 #: Languages that a model may have; the prototypes of so many go to the executors.
@@ -217,5 +217,6 @@ def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
             else:
                 keep = [any(map(str.isalpha, t.as_py() or "")) for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, word_blocks
+from .common import give_back, materialize, word_blocks
 from .components import connected_components
 
 #: Fingerprints of one key that one comparison holds at most, twice.
@@ -297,6 +297,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
                 [batch.column(0), pa.array(fp, pa.int64()), pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))],
                 names=["doc_id", "fp", "wide", "keys"],
             )
+        give_back()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
     return out.mapInArrow(run, "doc_id long, fp long, wide binary, keys array<long>")
