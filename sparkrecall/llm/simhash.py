@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -129,12 +129,13 @@ class BitPlanes:
         return full & ~over
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Edges (root, member) by position that span the links among ``fps`` (rows
-    of bytes). Two are compared directly."""
+    of bytes). Two are compared directly. With ``alike``, only pairs within the
+    radius that it confirms are links."""
     n, edges = len(fps), []
     if n == 2:
-        near = np.unpackbits(fps[0] ^ fps[1]).sum() <= radius
+        near = np.unpackbits(fps[0] ^ fps[1]).sum() <= radius and (alike is None or alike(0, 1))
         return [(0, 1)] if near else []
     planes, unseen = BitPlanes(fps), (1 << n) - 1
     while unseen:
@@ -142,12 +143,15 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         unseen &= unseen - 1
         todo = [root]
         while todo and unseen:
-            found = planes.within(todo.pop(), radius) & unseen
-            unseen &= ~found
+            at = todo.pop()
+            found = planes.within(at, radius) & unseen
             while found:
                 low = found & -found
                 k = low.bit_length() - 1
                 found ^= low
+                if alike is not None and not alike(at, k):
+                    continue
+                unseen ^= low
                 edges.append((root, k))
                 todo.append(k)
     return edges
@@ -224,19 +228,30 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
 # shingles have a Jaccard similarity of 0.8 differ in about 15 % of the bits of a
 # fingerprint, too many for whole blocks to agree. Fingerprints are then WIDE
 # bits long, so that the share of differing bits tells the similarity closely,
-# and candidates come from bands of MinHash values. All else is as above.
+# and candidates come from bands of MinHash values. The distance is a filter only:
+# a pair that passes links by the exact similarity of its two sets of hashes.
 
 LANES, BANDS, BAND_ROWS = 8, 12, 4
 WIDE = 64 * LANES
+#: Shingle hashes that one comparison holds at most, twice.
+CHUNK_HASHES = 1 << 20
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def radius_of(similarity: float) -> int:
     """Bits that differ on average between equally large sets of that Jaccard
-    similarity, and 1.7 standard deviations more: 19 in 20 pairs at the threshold
-    link, and nearly all that are more similar."""
+    similarity, and ten standard deviations more, which covers the ties of very
+    small sets too. Unrelated sets differ in half of all bits."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * share + 1.7 * np.sqrt(WIDE * share * (1 - share)))
+    return int(WIDE * share + 10 * np.sqrt(WIDE * share * (1 - share)))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes have that Jaccard similarity or more."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -286,34 +301,67 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[bytes, list[int]]:
     return np.packbits(2 * counts > n).tobytes(), keys
 
 
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 7) - (1 << 63)
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp, wide, keys); fp stands for wide in joins."""
+    """(doc_id, fp, n, wide, keys); fp stands for the set of n shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(shingle_set((t.as_py() or "").encode(), shingle)) for t in batch.column(1)]
-            fp = [xxhash.xxh64_intdigest(w, 7) - (1 << 63) for w, _ in found]
+            fp, n, found = [], [], []
+            for t in batch.column(1):
+                own = shingle_set((t.as_py() or "").encode(), shingle)
+                fp.append(_set_id(own))
+                n.append(len(own))
+                found.append(wide_fingerprint(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fp, pa.int64()), pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "wide", "keys"],
+                [batch.column(0), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "n", "wide", "keys"],
             )
         give_back()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    return out.mapInArrow(run, "doc_id long, fp long, wide binary, keys array<long>")
+    return out.mapInArrow(run, "doc_id long, fp long, n long, wide binary, keys array<long>")
 
 
-def link_wide(distinct: DataFrame, radius: int) -> DataFrame:
-    """As :func:`link`, for (fp, wide, keys)."""
-    spark = distinct.sparkSession
-    keyed = distinct.select("fp", F.explode("keys").alias("key")).distinct()
-    shared = materialize(spark, keyed.groupBy("key").count().filter("count > 1"), "shared-bands")
-    dealt = keyed.join(shared.hint("merge"), "key").withColumn("g", F.ceil(F.col("count") / CHUNK).cast("int"))
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(fp, hashes) per row; hashes are 8 bytes each, in order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = [shingle_set((t.as_py() or "").encode(), shingle) for t in batch.column(0).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_set_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["fp", "hashes"]
+                )
+        give_back()
+
+    return docs.select(F.col("text").alias("t")).mapInArrow(run, "fp long, hashes binary")
+
+
+def link_wide(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """As :func:`link`, for ``rows`` of :func:`wide_fingerprints` over ``docs``:
+    candidates share a band and are within the radius, links have ``similarity``."""
+    spark, radius = rows.sparkSession, radius_of(similarity)
+    distinct = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"))
+    distinct = materialize(spark, distinct, "distinct-wide")
+    keyed = distinct.select("fp", "n", F.explode("keys").alias("key")).distinct()
+    shared = materialize(spark, keyed.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("hashes")).filter("count > 1"), "shared-bands")
+    keyed = materialize(spark, keyed.join(shared.hint("merge"), "key"), "banded")
+    # only texts that have a candidate are read again for their sets
+    wanted = materialize(spark, distinct.join(keyed.select("fp").distinct().hint("merge"), "fp", "left_semi").select("fp", "wide", "doc_id"), "banded-wide")
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = again.join(ids.hint("merge"), again["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    sets = materialize(spark, shingle_sets(again, shingle).dropDuplicates(["fp"]), "shingle-sets")
+    dealt = keyed.withColumn("g", F.greatest(F.ceil(F.col("count") / CHUNK), F.ceil(F.col("hashes") / CHUNK_HASHES)).cast("int"))
     chunk = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     dealt = dealt.select("fp", "key", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-    dealt = dealt.join(distinct.select("fp", "wide").hint("merge"), "fp")
+    dealt = dealt.join(wanted.select("fp", "wide").join(sets.hint("merge"), "fp").hint("merge"), "fp")
     grid = dealt.groupBy("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi")).agg(
-        F.collect_list(F.struct("fp", "wide")).alias("fps")
+        F.collect_list(F.struct("fp", "wide", "hashes")).alias("fps")
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,21 +372,22 @@ def link_wide(distinct: DataFrame, radius: int) -> DataFrame:
                 own = row.values
                 ids = own.field(0).to_pylist()
                 wide = np.frombuffer(b"".join(own.field(1).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-                for i, j in forest(wide, radius):
+                sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in own.field(2)]
+                for i, j in forest(wide, radius, lambda i, j: similar(sets[i], sets[j], similarity)):
                     a.append(ids[i])
                     b.append(ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
 
     return grid.filter("size(fps) > 1").select("fps").mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) as :func:`near_components`, linking texts whose
-    sets of ``shingle``-word shingles have about ``similarity`` or more."""
+    sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity``
+    or more."""
     rows = materialize(docs.sparkSession, wide_fingerprints(docs, shingle), "wide-fingerprints")
-    distinct = rows.groupBy("fp").agg(F.first("wide").alias("wide"), F.first("keys").alias("keys"))
-    distinct = materialize(docs.sparkSession, distinct, "distinct-wide")
-    return _assign(rows.select("doc_id", "fp"), link_wide(distinct, radius_of(similarity)))
+    return _assign(rows.select("doc_id", "fp"), link_wide(docs, rows, shingle, similarity))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
