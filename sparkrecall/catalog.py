@@ -460,7 +460,7 @@ def latency_percentiles(spark, t):
 
 @query()
 def embed_hash(spark, t):
-    out = models.embed(t("documents"), "doc_id", "text", models.HashingBackend(32), max_tokens=100_000)
+    out = models.embed(t("documents"), "doc_id", "text", models.HashingBackend(32))
     return out.select("id", F.size("v").alias("dim"), r6(vectors.norm(F.col("v"))).alias("norm"), "error")
 
 
