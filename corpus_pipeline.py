@@ -19,7 +19,7 @@ from sparkrecall.packaging import ensure_shipped
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any known language go."""
+    """Documents whose text is in none of the learned languages go."""
     return langid.keep_known(docs)
 
 

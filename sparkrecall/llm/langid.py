@@ -21,6 +21,8 @@ from .common import give_back, is_held_out, materialize
 DIM, SEED, SCALE = 1024, 20240229, 1 << 20
 #: Languages that a model may have; the prototypes of so many go to the executors.
 MAX_LANGS = 4096
+#: Standard deviations of a chance cosine that a known language stands out by.
+CHANCE = 3.0
 #: Code points that are read at once; longer texts are summed piece by piece.
 PIECE = 1 << 20
 _CACHE_ROWS = 16384
@@ -153,21 +155,37 @@ class Model:
         self.mean = prototypes.mean(axis=0) if len(names) > 1 else np.zeros(dim, dtype=np.float32)
         self.centred = _unit(prototypes - self.mean) if names else prototypes
 
+    def cosines(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines with all languages, and which texts have letters."""
+        vectors, letters = encoder(self.dim, self.seed).encode(texts)
+        return _unit(vectors - self.mean) @ self.centred.T, letters
+
     def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         langs: list[str] = []
         scores: list[float] = []
         for at in range(0, len(texts), 512):
-            vectors, letters = encoder(self.dim, self.seed).encode(texts.slice(at, 512).to_pylist())
+            part = texts.slice(at, 512).to_pylist()
             if not self.names:
-                letters[:] = False
-                best, cos = np.zeros(len(letters), dtype=int), np.zeros((len(letters), 1))
-            else:
-                cos = _unit(vectors - self.mean) @ self.centred.T
-                best = cos.argmax(axis=1)
+                langs += ["und"] * len(part)
+                scores += [0.0] * len(part)
+                continue
+            cos, letters = self.cosines(part)
+            best = cos.argmax(axis=1)
             langs += [self.names[b] if ok else "und" for b, ok in zip(best, letters)]
             scores += [float(np.clip((1 + cos[i, b]) / 2, 0, 1)) if letters[i] else 0.0 for i, b in enumerate(best)]
         return langs, scores
 
+    def known(self, texts: pa.Array, langs: frozenset | None, chance: float) -> list[bool]:
+        """Whether each text is in one of ``langs`` (None: of all languages)
+        beyond ``chance`` standard deviations of a chance cosine."""
+        out: list[bool] = []
+        wanted = np.array([langs is None or x in langs for x in self.names], dtype=bool)
+        for at in range(0, len(texts), 512):
+            cos, letters = self.cosines(texts.slice(at, 512).to_pylist())
+            best = cos.argmax(axis=1)
+            out += (letters & wanted[best] & (cos[np.arange(len(best)), best] * np.sqrt(self.dim) >= chance)).tolist()
+        return out
+
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -202,18 +220,26 @@ def identify(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:
     return out.withColumn("held_out", F.coalesce(F.expr(is_held_out()), F.lit(False)))
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known: not ``und``
-    and with at least ``min_score``. Rows are filtered where they are read. If no
-    language can be learned, every text with a letter stays."""
+def keep_known(docs: DataFrame, langs: Iterable[str] | None = None, chance: float = CHANCE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose predicted language is one of
+    ``langs`` (None: any that was learned) and no accident.
+
+    The cosine of unrelated vectors has a standard deviation of 1 / sqrt(dim); a
+    text whose best language is not nearer than ``chance`` of them is in no known
+    language and goes, whatever its lang column says. Null texts and texts
+    without a letter go too. Rows are filtered where they are read; equal texts
+    share one fate; an empty table gives no rows; other columns may have any name
+    and type. If no language can be learned, every text with a letter stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    wanted = None if langs is None else frozenset(langs)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             if model.names:
-                keep = [x != "und" and s >= min_score for x, s in zip(*model(batch.column(at)))]
+                keep = model.known(batch.column(at), wanted, chance)
             else:
                 keep = [any(map(str.isalpha, t.as_py() or "")) for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -1,6 +1,9 @@
 import random
 import zlib
 
+import numpy as np
+from brute_profiles import profile
+
 from sparkrecall.llm.langid import identify, keep_known
 
 TRUE = {"aa": "abcd efab cdda", "bb": "xyzw wvzx yyxz", "cc": "éèà çâê ùéà"}
@@ -22,7 +25,24 @@ def test_held_out_accuracy_and_edges(docs_of):
     assert [got[i]["lang_pred"] for i in (300, 301, 302)] == ["und"] * 3 and got[304]["lang_pred"] == "bb"
     assert all(0 <= r["score"] <= 1 for r in got.values())
     kept = {r["doc_id"] for r in keep_known(docs_of(texts, langs)).collect()}
-    assert kept == {i for i in got if got[i]["lang_pred"] != "und"}
+    assert kept == {i for i in got if got[i]["lang_pred"] != "und" and 2 * got[i]["score"] - 1 >= 3 / 32}
+    only = {r["doc_id"] for r in keep_known(docs_of(texts, langs), ["bb", "zz"]).collect()}
+    assert only == {i for i in kept if got[i]["lang_pred"] == "bb"}
+
+
+def test_predictions_against_vectors_built_letter_by_letter(docs_of):
+    rnd = random.Random(6)
+    langs = [rnd.choice(list(TRUE)) for _ in range(60)]
+    texts = [text(rnd, x, rnd.randint(3, 60)) + rnd.choice(["", "  12 ", "-q"]) for x in langs]
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    own = [profile(t) for t in texts]
+    taught = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    names = sorted({langs[i] for i in taught})
+    protos = [unit(sum(own[i] for i in taught if langs[i] == x)) for x in names]
+    mean = sum(protos) / len(protos)
+    for r in identify(docs_of(texts, langs)).collect():
+        cos = [unit(own[r["doc_id"]] - mean) @ unit(p - mean) for p in protos]
+        assert r["lang_pred"] == names[int(np.argmax(cos))] and abs(r["score"] - (1 + max(cos)) / 2) < 1e-4
 
 
 def test_nothing_to_learn(docs_of):
