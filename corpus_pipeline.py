@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkrecall.llm import bpe, decontaminate, exact_dedup, langid, simhash
-from sparkrecall.llm.common import shared_dir, table
+from sparkrecall.llm.common import delete_path, release, shared_dir, table, written
 from sparkrecall.llm.queries import tokenizer_path
 from sparkrecall.packaging import ensure_shipped
 
@@ -64,10 +64,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage has written besides its result,
+    and the result before it, is deleted once its own result stands."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
+        path, mark = f"{folder}/{k}", written()
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, mark)
+        if k:
+            delete_path(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(path)
     return docs

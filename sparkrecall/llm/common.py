@@ -54,6 +54,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the written table behind a frame from :func:`materialize`."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -61,9 +68,16 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
             delete_path(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that this process has written with materialize()."""
-    while _WRITTEN:
+def written() -> int:
+    """How many tables this process keeps; see :func:`release`."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that this process has written with materialize(), or
+    those written after :func:`written` was ``since``. What still reads them must
+    have been written out before."""
+    while len(_WRITTEN) > since:
         delete_path(spark, _WRITTEN.pop())
 
 

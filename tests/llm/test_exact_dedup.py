@@ -37,11 +37,50 @@ def test_index_persists_between_batches(spark, docs_of):
     got = {r["doc_id"]: r for r in exact_dedup(docs_of(["t wo", "three"], ids=[50, 51]), index).collect()}
     assert not got[50]["kept"] and got[50]["keep_id"] == 2 and got[51]["kept"]
     assert index.rows().count() == 3
-    again = DigestIndex(spark, index.name)
-    assert again.buckets == index.buckets
     index.drop()
 
 
+def test_a_batch_may_come_again(spark, docs_of):
+    """As after a crash: nothing is lost, nothing is counted twice."""
+    index = DigestIndex(spark, "retry", buckets=3)
+    first = docs_of(["one", "t w o", "two", "a longer text", "a longer  text"])
+    want = sorted((r["doc_id"], r["text"]) for r in kept_documents(first, index).collect())
+    assert [i for i, _ in want] == [0, 1, 4]
+    before = sorted(map(tuple, index.rows().select("text_sha256", "keep_id").collect()))
+    assert sorted((r["doc_id"], r["text"]) for r in kept_documents(first, index).collect()) == want
+    assert sorted(map(tuple, index.rows().select("text_sha256", "keep_id").collect())) == before
+    # half of the batch had come in when the job failed
+    halves = {r["batch"] for r in index.rows().select("batch").distinct().collect()}
+    spark.sql(f"ALTER TABLE {index.table} DROP PARTITION (batch = '{sorted(halves)[1]}')")
+    assert sorted((r["doc_id"], r["text"]) for r in kept_documents(first, index).collect()) == want
+    second = docs_of(["two", "new", "one "], ids=[10, 11, 12])
+    assert [r["doc_id"] for r in kept_documents(second, index).collect()] == [11]
+    assert sorted((r["doc_id"], r["text"]) for r in kept_documents(first, index).collect()) == want
+    spark.sql(f"DROP TABLE {index.table}")  # as a new session finds it
+    again = DigestIndex(spark, "retry")
+    assert again.buckets == 3 and again.rows().count() == 4
+    assert [r["doc_id"] for r in kept_documents(second, again).collect()] == [11]
+    again.drop()
+    assert DigestIndex(spark, "retry").rows().count() == 0
+
+
+def test_columns_may_have_any_name_and_type(spark):
+    rows = [(1, "a b", 5, {"k": 1}, "x"), (1, "a  b", 6, {"k": 2}, "y"), (None, "q", 7, None, None), (None, "q", 7, {"k": 3}, "z"), (2, None, 8, {}, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _id int, row map<string,int>, sha string")
+    df = df.selectExpr("*", "3 as _sha", "4 as _n", "5 as _points", "6 as n", "7 as id", "8 as `a.b`", "9 as order", "10 as keep_id")
+    got = kept_documents(df)
+    assert got.columns == df.columns
+    out = sorted(got.collect(), key=lambda r: str(r["doc_id"]))
+    assert [(r["doc_id"], r["text"], r["_id"]) for r in out] == [(1, "a  b", 6), (2, None, 8), (None, "q", 7)]
+    assert all((r["_sha"], r["_n"], r["_points"], r["n"], r["id"], r["a.b"], r["keep_id"]) == (3, 4, 5, 6, 7, 8, 10) for r in out)
+    assert kept_documents(df.filter("false")).count() == 0
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "x "), ("c", "y")], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in exact_dedup(df).filter("kept").collect()) == ["a", "c"]
+
+
 def test_repeated_rows_keep_one(docs_of):
     df = docs_of(["same", "same", "same", "other"], ids=[1, 1, 2, 2])
     assert sorted((r["doc_id"], r["text"]) for r in kept_documents(df).collect()) == [(1, "same"), (2, "other")]
