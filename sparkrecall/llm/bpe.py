@@ -1,15 +1,19 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are split into words at white space; each task reduces its words to
-   distinct ones with counts, and one shuffle reduces them over the corpus.
-2. Of the table of distinct words the most frequent, up to a bound in bytes, are
-   encoded once each, in Spark, and shared with all workers. A rarer word is
-   encoded where it is met, once for each block of texts that has it.
-3. Ids are joined back by position. Ids become pieces through the id-to-piece
-   table, whose size the vocabulary fixes.
-
-Only whole words go to the tokenizer: no id depends on what stands beyond white
-space, which :class:`WordCodec` checks of the tokenizer that it is given.
+1. Texts are split into words at white space, block of texts by block of texts.
+   A block keeps its distinct words once and, for every place of every text, the
+   number of the word that stands there. Blocks are written out.
+2. The distinct words of all blocks are shuffled by word. A task thus has all
+   blocks' entries of its words, encodes every distinct word once, and answers
+   each block with ids in the order in which the block had listed the words.
+3. Ids are joined back to the block and put in place by position.
+4. For decoding, the distinct ids of a block are joined with the id-to-piece
+   table (its size is the vocabulary's), and pieces are put in place alike.
+
+What is shuffled is distinct words of blocks and packed numbers: no text and no
+row per word place. Only whole words go to the tokenizer: no id depends on what
+stands beyond white space, which :class:`WordCodec` checks of the tokenizer that
+it is given.
 """
 
 from __future__ import annotations
@@ -17,26 +21,28 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import pickle
 import re
 import unicodedata
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, materialize
 
-#: Bytes of words and ids that are sent to every worker.
-SHARED_BYTES = 12 << 20
-#: Distinct words that a task counts before it hands them on.
-COUNTED_WORDS = 200_000
-#: Characters of texts that are encoded together.
-BLOCK_CHARS = 2 << 20
+#: Characters of texts at which a block is closed.
+BLOCK_CHARS = 8 << 20
+#: Parts that words are dealt to by hash: a task holds the distinct words of one.
+MIN_PARTS, MAX_PARTS = 64, 1 << 16
+#: Bytes of input for each part beyond MIN_PARTS.
+PART_BYTES = 64 << 20
+#: Characters that are split at once.
+PIECE = 1 << 20
 
 
 class WordCodec:
@@ -72,8 +78,18 @@ class WordCodec:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = [self.tokenizer.id_to_token(i) for i in range(size)]
 
-    def words(self, part: str) -> list[str]:
-        return self.slow(part) if self.has_odd and self.odd.search(part) else part.split()
+    def words(self, text: str) -> Iterator[list[str]]:
+        """Words and special tokens in order, piece by piece."""
+        for part, special in self.parts(text):
+            if special:
+                yield [part]
+                continue
+            at = 0
+            while at < len(part):
+                end = part.find(" ", at + PIECE) if at + PIECE < len(part) else -1
+                piece = part if not at and end < 0 else part[at:] if end < 0 else part[at:end]
+                yield self.slow(piece) if self.has_odd and self.odd.search(piece) else piece.split()
+                at = len(part) if end < 0 else end
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text's parts; whether each is a special token."""
@@ -93,11 +109,7 @@ class WordCodec:
         for at in range(0, len(words), 2048):
             found = self.tokenizer.encode_batch(words[at : at + 2048], add_special_tokens=False)
             out += [np.array(e.ids, "<u4").tobytes() for e in found]
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        pieces = self.pieces
-        return " ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return [self.specials.get(w, x) for w, x in zip(words, out)]
 
 
 _CODECS: dict[str, WordCodec] = {}
@@ -109,99 +121,148 @@ def codec(path: str) -> WordCodec:
     return _CODECS[path]
 
 
-def word_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n): the distinct words of all texts."""
+def squeeze(a: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers byte plane by byte plane, compressed."""
+    return zlib.compress(np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = codec(path), Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                for part, special in own.parts(text.as_py() or ""):
-                    if not special:
-                        seen.update(own.words(part))
-                if len(seen) > COUNTED_WORDS:
-                    yield _counted(seen)
-                    seen = Counter()
-        if seen:
-            yield _counted(seen)
-        del seen
-        give_back()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def stretch(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+def pack(parts: list[bytes]) -> bytes:
+    """Byte strings as one: how many, how long, and what they hold."""
+    lens = np.array([len(parts), *map(len, parts)], "<u4")
+    return zlib.compress(lens.tobytes() + b"".join(parts), 1)
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) for distinct words, each encoded once."""
+def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
+    """(lengths, what the byte strings hold, end to end)."""
+    raw = zlib.decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), raw[4 * n + 4 :]
+
+
+class _Block:
+    """Texts whose words are kept once."""
+
+    def __init__(self) -> None:
+        self.ids, self.sizes, self.places, self.chars = [], [], [], 0
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+
+    def add(self, own: WordCodec, doc_id, text: str) -> None:
+        at = [np.fromiter(map(self.known.__getitem__, ws), np.uint32, len(ws)) for ws in own.words(text)]
+        self.ids.append(doc_id)
+        self.sizes.append(sum(map(len, at)))
+        self.places += at
+        self.chars += len(text) + 64
+
+    def row(self, n_parts: int) -> dict:
+        """``at`` numbers the word of every place, the most frequent word first;
+        ``part`` says to which part each word is dealt; ``words`` are the words of
+        each part, in order of number."""
+        places = np.concatenate(self.places) if self.places else np.zeros(0, np.uint32)
+        by_use = np.argsort(-np.bincount(places, minlength=len(self.known)), kind="stable")
+        rank = np.empty(len(by_use), np.uint32)
+        rank[by_use] = np.arange(len(by_use), dtype=np.uint32)
+        listed = [w.encode() for w in self.known]
+        part = np.fromiter((zlib.crc32(listed[k]) % n_parts for k in by_use), np.uint32, len(by_use))
+        words: list[list[bytes]] = [[] for _ in range(n_parts)]
+        for k, p in zip(by_use.tolist(), part.tolist()):
+            words[p].append(listed[k])
+        return {"ids": self.ids, "sizes": self.sizes, "at": squeeze(rank[places]), "part": squeeze(part),
+                "words": [{"part": p, "words": pack(ws)} for p, ws in enumerate(words) if ws]}
+
+
+def word_blocks(docs: DataFrame, path: str, n_parts: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per block of texts; see :class:`_Block`."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    schema = pa.schema([("ids", pa.list_(to_arrow_type(kind))), ("sizes", pa.list_(pa.int32())), ("at", pa.binary()), ("part", pa.binary()),
+                        ("words", pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own, block = codec(path), _Block()
         for batch in batches:
-            ids = own.encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block.add(own, doc_id, text.as_py() or "")
+                if block.chars >= block_chars:
+                    yield pa.RecordBatch.from_pylist([block.row(n_parts)], schema=schema)
+                    block = _Block()
+        if block.ids:
+            yield pa.RecordBatch.from_pylist([block.row(n_parts)], schema=schema)
+        del block
         give_back()
 
-    return words.select("word").mapInArrow(run, "word string, ids binary")
+    columns = f"ids array<{kind.simpleString()}>, sizes array<int>, at binary, part binary, words array<struct<part:int,words:binary>>"
+    return docs.select("doc_id", "text").mapInArrow(run, columns).withColumn("block", F.monotonically_increasing_id())
 
 
-def shared_words(docs: DataFrame, path: str, shared_bytes: int = SHARED_BYTES) -> bytes:
-    """The most frequent distinct words with their ids, pickled and compressed.
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """(block, part, ids, used) from (block, part, words): the ids of each word in
+    the order given, and the distinct ones. All entries of a word meet in one
+    task, which encodes it once."""
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("used", pa.list_(pa.int32()))])
 
-    The cut is by powers of two of the count, read from a histogram of at most 64
-    rows; a single-use word is never shared. What comes to the driver is bounded
-    by ``shared_bytes`` however large the corpus is.
-    """
-    counts = materialize(docs.sparkSession, word_counts(docs, path).filter("n > 1"), "word-counts")
-    step = (F.length(F.bin("n")) - 1).alias("step")
-    # about one id for three bytes of a word
-    cost = F.sum(F.octet_length("word") * 7 / 3 + 8)
-    least, total = None, 0.0
-    for r in counts.groupBy(step).agg(cost.alias("b")).orderBy(F.desc("step")).collect():
-        total += r["b"]
-        if total > shared_bytes:
-            break
-        least = r["step"]
-    if least is None:
-        return zlib.compress(pickle.dumps({}), 1)
-    head = materialize(docs.sparkSession, encode_words(counts.filter(F.col("n") >= 1 << least), path), "word-ids")
-    return zlib.compress(pickle.dumps({r[0]: bytes(r[1]) for r in head.toLocalIterator()}), 1)
-
-
-def _blocks(texts: pa.Array) -> Iterator[list[str]]:
-    own: list[str] = []
-    size = 0
-    for t in texts:
-        own.append(t.as_py() or "")
-        size += len(own[-1])
-        if size > BLOCK_CHARS:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
-
-
-def _encode_block(own: WordCodec, known: dict[str, bytes], texts: list[str]) -> Iterator[bytes]:
-    """Ids of each text; words that are not known are encoded once for the block."""
-    split = [[(own.specials[p] if special else own.words(p)) for p, special in own.parts(t)] for t in texts]
-    new = {w for parts in split for ws in parts if not isinstance(ws, bytes) for w in ws if w not in known}
-    rare: dict[str, bytes] = {}
-    if new:
-        listed = list(new)
-        rare = dict(zip(listed, own.encode(listed)))
-    for parts in split:
-        out = []
-        for ws in parts:
-            if isinstance(ws, bytes):
-                out.append(ws)
-            else:
-                out += [known.get(w) or rare[w] for w in ws] if rare else map(known.__getitem__, ws)
-        yield b"".join(out)
-
-
-def encode_texts(docs: DataFrame, path: str, shared_bytes: int = SHARED_BYTES, output: str = "digest") -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, now = codec(path), None
+        table: dict[bytes, bytes] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for block, part, data in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    if part != now:
+                        table, now = {}, part
+                    lens, raw = unpack(data)
+                    ends = np.cumsum(lens)
+                    words = [raw[s:e] for s, e in zip((ends - lens).tolist(), ends.tolist())]
+                    new = [w for w in words if w not in table]
+                    table.update(zip(new, own.encode([w.decode() for w in new])))
+                    found = [table[w] for w in words]
+                    used = np.unique(np.frombuffer(b"".join(found), "<u4")).astype(np.int32)
+                    rows.append({"block": block, "part": part, "ids": pack(found), "used": used})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        del table
+        give_back()
+
+    dealt = words.select("block", "part", "words").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "block long, part int, ids binary, used array<int>")
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of the whole vocabulary."""
+    return spark.createDataFrame(pd.DataFrame(list(enumerate(codec(path).pieces)), columns=["id", "piece"]), "id int, piece string")
+
+
+def _in_place(row: dict) -> Iterator[tuple[object, np.ndarray, str]]:
+    """(doc_id, ids, decoded text) of the texts of one block."""
+    part, places = stretch(row["part"]), stretch(row["at"])
+    found = [unpack(x["ids"]) for x in sorted(row["parts"], key=lambda x: x["part"])]
+    flat = np.frombuffer(b"".join(x[1] for x in found), "<u4")
+    order = np.argsort(part, kind="stable")
+    counts, starts = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+    if found:
+        n = np.concatenate([x[0] for x in found]) // 4
+        counts[order], starts[order] = n, np.cumsum(n) - n
+    piece = dict(zip((x["id"] for x in row["pieces"] or ()), (x["piece"] for x in row["pieces"] or ())))
+    tokens = [piece[i] for i in flat.tolist()]
+    decoded = [" ".join(tokens[s : s + k]) for s, k in zip(starts.tolist(), counts.tolist())]
+    del tokens, piece
+    at = 0
+    for doc_id, size in zip(row["ids"], row["sizes"]):
+        own = places[at : at + size]
+        at += size
+        n = counts[own]
+        first = np.cumsum(n) - n
+        ids = flat[np.repeat(starts[own] - first, n) + np.arange(int(n.sum()))]
+        # a word may have no ids: then it has no piece to join either
+        yield doc_id, ids, " ".join([decoded[k] for k in own[n > 0].tolist()])
+
+
+def encode_texts(docs: DataFrame, path: str, output: str = "digest", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Encode and decode every text.
 
     ``output`` is ``ids`` (doc_id, ids array<int>, decoded string) or ``digest``
@@ -209,36 +270,66 @@ def encode_texts(docs: DataFrame, path: str, shared_bytes: int = SHARED_BYTES, o
     unsigned 32-bit integers, and of the decoded text in UTF-8).
 
     Null counts as empty: no ids, empty decoded text. Repeated rows are encoded
-    each, an empty table gives no rows, and only doc_id and text are read.
+    each, an empty table gives no rows, and only doc_id and text are read. A very
+    long text is a block of its own.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, path, shared_bytes))
-    digest = output == "digest"
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, digest = docs.sparkSession, output == "digest"
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = min(MAX_PARTS, max(MIN_PARTS, size // PART_BYTES))
+    blocks = materialize(spark, word_blocks(docs, path, n_parts, block_chars), "word-blocks")
+    words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.part", "w.words")
+    encoded = materialize(spark, encode_words(words, path), "word-ids")
+    by_block = encoded.groupBy("block").agg(
+        F.collect_list(F.struct("part", "ids")).alias("parts"), F.array_distinct(F.flatten(F.collect_list("used"))).alias("used")
+    )
+    # the vocabulary bounds what is broadcast
+    named = by_block.select("block", F.explode("used").alias("id")).join(F.broadcast(piece_table(spark, path)), "id")
+    named = named.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    rows = blocks.select("block", "ids", "sizes", "at", "part")
+    rows = rows.join(by_block.select("block", "parts").hint("merge"), "block", "left").join(named.hint("merge"), "block", "left")
+    rows = rows.select("ids", "sizes", "at", "part", F.coalesce("parts", F.array()).alias("parts"), "pieces")
+
+    kind = docs.schema["doc_id"].dataType
+    if digest:
+        extra = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+        columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    else:
+        extra, columns = [("ids", pa.list_(pa.int32())), ("decoded", pa.string())], "ids array<int>, decoded string"
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *extra])
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the task's own copy: a worker that outlives the task keeps no words
-        own, known = codec(path), pickle.loads(zlib.decompress(shared.value))
         for batch in batches:
-            at = 0
-            for texts in _blocks(batch.column(1)):
-                out: list[list] = [[], [], []]
-                for ids in _encode_block(own, known, texts):
-                    decoded = own.decode(ids)
+            for k in range(batch.num_rows):
+                out, held = [], 0
+                for doc_id, ids, text in _in_place(batch.slice(k, 1).to_pylist()[0]):
                     if digest:
-                        out[0].append(len(ids) // 4)
-                        out[1].append(hashlib.sha256(ids).hexdigest())
-                        out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
+                        out.append((doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                        held += 200
                     else:
-                        out[0].append(np.frombuffer(ids, "<u4").astype(np.int32))
-                        out[1].append(decoded)
-                if digest:
-                    columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-                else:
-                    columns = [pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=["doc_id", *names])
-                at += len(texts)
-        del known
+                        out.append((doc_id, ids.astype(np.int32), text))
+                        held += 4 * len(ids) + len(text)
+                    if held > 4 << 20:
+                        yield batch_of(out)
+                        out, held = [], 0
+                if out:
+                    yield batch_of(out)
         give_back()
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
-    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}")
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, {columns}")
+
+
+def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
+    """The rows of ``encoded`` (doc_id, ids array<int>) with ``decoded``: a join of
+    every id with the id-to-piece table. Null ids decode as none; an id outside
+    the vocabulary has no piece; repeated rows are decoded each."""
+    spark = encoded.sparkSession
+    rows = materialize(spark, encoded.select("doc_id", "ids").withColumn("row_no", F.monotonically_increasing_id()), "encoded")
+    tokens = rows.select("row_no", F.posexplode("ids").alias("at", "id")).join(F.broadcast(piece_table(spark, path)), "id")
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])
+    texts = tokens.groupBy("row_no").agg(F.array_join(pieces, " ").alias("text"))
+    return rows.join(texts.hint("merge"), "row_no", "left").select("doc_id", "ids", F.coalesce("text", F.lit("")).alias("decoded"))
