@@ -6,12 +6,13 @@
 2. The distinct words of all blocks are shuffled by word. A task thus has all
    blocks' entries of its words, encodes every distinct word once, and answers
    each block with ids in the order in which the block had listed the words.
-3. Ids are joined back to the block and put in place by position.
-4. For decoding, the distinct ids of a block are joined with the id-to-piece
-   table (its size is the vocabulary's), and pieces are put in place alike.
+3. Ids are joined back to the block and put in place by position. Blocks are a
+   bucketed table, so that only the answers are shuffled for that.
+4. For decoding, the distinct ids of all answers are joined with the id-to-piece
+   table (both are bounded by the vocabulary), and pieces are put in place alike.
 
-What is shuffled is distinct words of blocks and packed numbers: no text and no
-row per word place. Only whole words go to the tokenizer: no id depends on what
+What is shuffled is distinct words of blocks and their ids: no text, no row per
+word place, and no position. Only whole words go to the tokenizer: no id depends on what
 stands beyond white space, which :class:`WordCodec` checks of the tokenizer that
 it is given.
 """
@@ -30,17 +31,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize
+from .common import give_back, materialize, materialize_bucketed
 
 #: Characters of texts at which a block is closed.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 32 << 20
 #: Parts that words are dealt to by hash: a task holds the distinct words of one.
 MIN_PARTS, MAX_PARTS = 64, 1 << 16
 #: Bytes of input for each part beyond MIN_PARTS.
 PART_BYTES = 64 << 20
+#: Bytes of input for each bucket of blocks.
+BUCKET_BYTES = 64 << 20
 #: Characters that are split at once.
 PIECE = 1 << 20
 
@@ -123,25 +127,25 @@ def codec(path: str) -> WordCodec:
 
 def squeeze(a: np.ndarray) -> bytes:
     """Unsigned 32-bit integers byte plane by byte plane, compressed."""
-    return zlib.compress(np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def stretch(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def pack(parts: list[bytes]) -> bytes:
+def pack(words: list[bytes]) -> bytes:
     """Byte strings as one: how many, how long, and what they hold."""
-    lens = np.array([len(parts), *map(len, parts)], "<u4")
-    return zlib.compress(lens.tobytes() + b"".join(parts), 1)
+    lens = np.array([len(words), *map(len, words)], "<u4")
+    return zstandard.compress(lens.tobytes() + b"".join(words), 3)
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
-    """(lengths, what the byte strings hold, end to end)."""
-    raw = zlib.decompress(data)
+def unpack(data: bytes) -> list[bytes]:
+    raw = zstandard.decompress(data)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
-    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), raw[4 * n + 4 :]
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64)) + 4 * n + 4
+    return [raw[s:e] for s, e in zip([4 * n + 4, *ends.tolist()], ends.tolist())]
 
 
 class _Block:
@@ -201,35 +205,37 @@ def word_blocks(docs: DataFrame, path: str, n_parts: int, block_chars: int = BLO
     return docs.select("doc_id", "text").mapInArrow(run, columns).withColumn("block", F.monotonically_increasing_id())
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, part, ids, used) from (block, part, words): the ids of each word in
-    the order given, and the distinct ones. All entries of a word meet in one
-    task, which encodes it once."""
-    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("used", pa.list_(pa.int32()))])
+def encode_words(words: DataFrame, path: str, tasks: int) -> DataFrame:
+    """(block, part, counts, ids, used) from (block, part, words): of each word, in
+    the order given, the number of its ids, and all ids. All entries of a word
+    meet in one task, which encodes it once. ``used`` are distinct ids that the
+    task has not named before."""
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("ids", pa.binary()), ("used", pa.list_(pa.int32()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, now = codec(path), None
+        own, now, named = codec(path), None, np.zeros(0, np.int32)
         table: dict[bytes, bytes] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, 64):
                 rows = []
-                for block, part, data in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                for block, part, data in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     if part != now:
                         table, now = {}, part
-                    lens, raw = unpack(data)
-                    ends = np.cumsum(lens)
-                    words = [raw[s:e] for s, e in zip((ends - lens).tolist(), ends.tolist())]
-                    new = [w for w in words if w not in table]
+                    listed = unpack(data)
+                    new = [w for w in listed if w not in table]
                     table.update(zip(new, own.encode([w.decode() for w in new])))
-                    found = [table[w] for w in words]
-                    used = np.unique(np.frombuffer(b"".join(found), "<u4")).astype(np.int32)
-                    rows.append({"block": block, "part": part, "ids": pack(found), "used": used})
+                    found = [table[w] for w in listed]
+                    ids = np.frombuffer(b"".join(found), "<u4")
+                    used = np.setdiff1d(ids.astype(np.int32), named)
+                    named = np.union1d(named, used)
+                    counts = np.fromiter(map(len, found), np.uint32, len(found)) // 4
+                    rows.append({"block": block, "part": part, "counts": squeeze(counts), "ids": squeeze(ids), "used": used})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
         del table
         give_back()
 
-    dealt = words.select("block", "part", "words").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "block long, part int, ids binary, used array<int>")
+    dealt = words.select("block", "part", "words").repartition(tasks, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "block long, part int, counts binary, ids binary, used array<int>")
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -237,20 +243,19 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(list(enumerate(codec(path).pieces)), columns=["id", "piece"]), "id int, piece string")
 
 
-def _in_place(row: dict) -> Iterator[tuple[object, np.ndarray, str]]:
+def _in_place(row: dict, pieces: list[str]) -> Iterator[tuple[object, np.ndarray, str]]:
     """(doc_id, ids, decoded text) of the texts of one block."""
     part, places = stretch(row["part"]), stretch(row["at"])
-    found = [unpack(x["ids"]) for x in sorted(row["parts"], key=lambda x: x["part"])]
-    flat = np.frombuffer(b"".join(x[1] for x in found), "<u4")
+    found = sorted(row["parts"] or (), key=lambda x: x["part"])
+    flat = np.concatenate([np.zeros(0, "<u4"), *(stretch(x["ids"]) for x in found)])
+    n = np.concatenate([np.zeros(0, "<u4"), *(stretch(x["counts"]) for x in found)]).astype(np.int64)
+    # answers stand part by part, in each part in order of number
     order = np.argsort(part, kind="stable")
-    counts, starts = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-    if found:
-        n = np.concatenate([x[0] for x in found]) // 4
-        counts[order], starts[order] = n, np.cumsum(n) - n
-    piece = dict(zip((x["id"] for x in row["pieces"] or ()), (x["piece"] for x in row["pieces"] or ())))
-    tokens = [piece[i] for i in flat.tolist()]
+    counts, starts = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+    counts[order], starts[order] = n, np.cumsum(n) - n
+    tokens = [pieces[i] for i in flat.tolist()]
     decoded = [" ".join(tokens[s : s + k]) for s, k in zip(starts.tolist(), counts.tolist())]
-    del tokens, piece
+    del tokens
     at = 0
     for doc_id, size in zip(row["ids"], row["sizes"]):
         own = places[at : at + size]
@@ -278,18 +283,18 @@ def encode_texts(docs: DataFrame, path: str, output: str = "digest", block_chars
     spark, digest = docs.sparkSession, output == "digest"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = min(MAX_PARTS, max(MIN_PARTS, size // PART_BYTES))
-    blocks = materialize(spark, word_blocks(docs, path, n_parts, block_chars), "word-blocks")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    blocks = materialize_bucketed(spark, word_blocks(docs, path, n_parts, block_chars), "word-blocks", buckets, "block")
     words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.part", "w.words")
-    encoded = materialize(spark, encode_words(words, path), "word-ids")
-    by_block = encoded.groupBy("block").agg(
-        F.collect_list(F.struct("part", "ids")).alias("parts"), F.array_distinct(F.flatten(F.collect_list("used"))).alias("used")
-    )
-    # the vocabulary bounds what is broadcast
-    named = by_block.select("block", F.explode("used").alias("id")).join(F.broadcast(piece_table(spark, path)), "id")
-    named = named.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
-    rows = blocks.select("block", "ids", "sizes", "at", "part")
-    rows = rows.join(by_block.select("block", "parts").hint("merge"), "block", "left").join(named.hint("merge"), "block", "left")
-    rows = rows.select("ids", "sizes", "at", "part", F.coalesce("parts", F.array()).alias("parts"), "pieces")
+    encoded = materialize(spark, encode_words(words, path, buckets), "word-ids")
+    # distinct ids and what they are joined with: as many as the vocabulary has
+    named = encoded.select(F.explode("used").alias("id")).distinct().join(F.broadcast(piece_table(spark, path)), "id")
+    pieces = [""] * len(codec(path).pieces)
+    for r in named.collect():
+        pieces[r["id"]] = r["piece"]
+    shared = spark.sparkContext.broadcast(pieces)
+    answers = encoded.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "ids")).alias("parts"))
+    rows = blocks.select("block", "ids", "sizes", "at", "part").join(answers.hint("merge"), "block", "left").drop("block")
 
     kind = docs.schema["doc_id"].dataType
     if digest:
@@ -306,7 +311,7 @@ def encode_texts(docs: DataFrame, path: str, output: str = "digest", block_chars
         for batch in batches:
             for k in range(batch.num_rows):
                 out, held = [], 0
-                for doc_id, ids, text in _in_place(batch.slice(k, 1).to_pylist()[0]):
+                for doc_id, ids, text in _in_place(batch.slice(k, 1).to_pylist()[0], shared.value):
                     if digest:
                         out.append((doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
                         held += 200
