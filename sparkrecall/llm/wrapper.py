@@ -6,11 +6,14 @@
    the host is aligned with it by simple tree matching (Yang, 1991), so that a
    node of any page is a slot of the host's reference.
 3. Slots are read over all pages of the host. A text that stands in one slot on
-   nearly every page is constant: template. What varies is content.
-4. Main text is taken from the article (or main) region, else from the body
-   blocks that are not mostly links. Elements that are no article text by
-   meaning (navigation, adverts, notices, forms, comments, ...) are left out even
-   where their text varies from page to page, and template blocks are left out.
+   nearly every page is constant: template. What varies is content, and the
+   container that holds nearly all varying text is the host's content slot.
+4. Main text is what stands in the content slot, less constant blocks at its
+   edges (a heading, or what stands between varying blocks, stays) and less
+   elements that are no article text by meaning (navigation, adverts, notices,
+   forms, comments, ...), which may vary from page to page. Where induction
+   finds no slot inside a page's article or main element, that element counts;
+   without one, the body blocks that are not mostly links.
 
 Pages are not moved: the induced templates are small, and only what is below a
 checked size is broadcast; beyond that, templates are joined to the pages.
@@ -30,10 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A host with fewer different pages has no template.
-MIN_PAGES = 8
+#: One page alone shows no variance.
+MIN_PAGES = 2
 #: Share of a host's pages on which a constant text stands at least.
 CONSTANT = 0.9
+#: Share of a container's varying text that one child holds if it is the content slot.
+DOMINANT = 0.75
 #: Templates beyond so many bytes are joined instead of broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -56,13 +61,17 @@ _NOT_TEXT = frozenset(
     "svg canvas object embed audio video map menu dialog math noembed noframes xmp".split()
 )
 _NOT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-_NOT_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adslot|banners?|promos?|promotion\w*|sponsor\w*|cookies?|consent|gdpr|notices?|notification\w*|"
-    r"alerts?|popups?|pop-up|modals?|overlays?|newsletters?|subscri\w*|sign-?ups?|log-?in|sidebars?|side-bar|nav|navs|navbar|navigation|menus?|"
-    r"bread-?crumbs?|footers?|site-?header|page-?header|masthead|topbar|toolbar|comments?|commentlist|respond|disqus|replies|reply|shar(?:e|ing)|"
-    r"social|related|recommend\w*|widgets?|pagination|pager|skip-?link|print-?only|sr-only|disclaimers?|forms?)(?=$|[\s_-])",
-    re.I,
+#: A class or id names such a part only if all of its hyphenated words do.
+_CHROME = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot banner banners promo promos promotion promotions sponsor sponsored "
+    "sponsors cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal modals overlay overlays newsletter "
+    "newsletters subscribe subscription signup login sidebar sidebars nav navs navbar navigation menu menus breadcrumb breadcrumbs footer footers masthead "
+    "topbar toolbar comment comments commentlist disqus reply replies share sharing social widget widgets pagination pager disclaimer disclaimers form forms".split()
 )
+_JOINT = frozenset("site page global main top bottom left right box block bar list links link container wrapper wrap section area slot item items inner outer header "
+                   "log in sign up skip crumb crumbs pop print sr only side bread privacy policy user reader thread respond post article entry".split())
+_PAIRS = frozenset(("site-header page-header pop-up sign-up log-in side-bar bread-crumb bread-crumbs skip-link print-only sr-only related related-posts "
+                    "related-articles related-links recommended recommendations").split())
 _ROOT = frozenset(("html", "body"))
 _SPACE = re.compile(r"\s+")
 
@@ -88,8 +97,16 @@ def _is_out(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return bool(names.strip()) and tag not in _ROOT and bool(_NOT_CLASS.search(names))
+    return tag not in _ROOT and any(map(_is_chrome, f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()))
+
+
+def _is_chrome(name: str) -> bool:
+    """``cookie-notice`` is a notice; ``notice-of-death`` may be an article."""
+    if name in _CHROME or name in _PAIRS:
+        return True
+    words = re.split(r"[-_]+", name.strip("-_"))
+    words = [w for w in words if not w.isdigit()]
+    return any(w in _CHROME for w in words) and all(w in _CHROME or w in _JOINT for w in words)
 
 
 def parse(text: str) -> Node:
@@ -242,11 +259,32 @@ class Page:
                 todo.append((None, k, inner, False))
             todo += [(c, slot, inner, in_link or item.tag == "a") for c in reversed(item.children)]
 
-    def main_blocks(self, template: frozenset | set = frozenset()) -> list[str]:
-        """Texts of the main region, less template blocks."""
-        want = 2 if self.has_main else 1
-        own = [b for b in self.blocks if b[2] == want and (want == 2 or b[3] <= len(b[1]) / 2)]
-        return [b[1] for b in own if not template or (b[0], text_hash(b[1])) not in template]
+    def main_blocks(self, template: frozenset | set = frozenset(), root: int = -1) -> list[str]:
+        """Texts of the content slot ``root`` (-1: none was induced), else of the
+        main region, without the ``template`` (node, text hash) at its edges."""
+        lines = self.skeleton.split("\n")
+        inside = range(root, _subtree_end(lines, root)) if root >= 0 else range(0)
+        own = [b for b in self.blocks if b[2] and b[0] in inside]
+        if not own or self.has_main and not all(b[2] == 2 for b in own):
+            want = 2 if self.has_main else 1
+            own = [b for b in self.blocks if b[2] == want and (want == 2 or b[3] <= len(b[1]) / 2)]
+        if template:
+            fixed = [(b[0], text_hash(b[1])) in template for b in own]
+            varying = [k for k, x in enumerate(fixed) if not x]
+            first, last = (varying[0], varying[-1]) if varying else (0, len(own))
+            own = [b for k, b in enumerate(own) if not fixed[k] or first < k < last or k < first and _HEADING.match(lines[b[0]])]
+        return [b[1] for b in own]
+
+
+_HEADING = re.compile(r"\d+ h[1-6](?:\.|$)")
+
+
+def _subtree_end(lines: list[str], node: int) -> int:
+    depth = int(lines[node].partition(" ")[0])
+    for k in range(node + 1, len(lines)):
+        if int(lines[k].partition(" ")[0]) <= depth:
+            return k
+    return len(lines)
 
 
 def text_hash(text: str) -> int:
@@ -277,55 +315,93 @@ def _tree(skeleton: str) -> list[tuple[str, list[int]]]:
 
 def match_trees(one: str, two: str) -> dict[int, int]:
     """Simple tree matching: the largest order-keeping top-down matching, as a
-    map from nodes of ``one`` to nodes of ``two``."""
+    map from nodes of ``one`` to nodes of ``two``.
+
+    Like siblings are folded, so a signature stands once among siblings and every
+    node has at most one partner, the one on the same path. The best matching of
+    two lists of children is then the heaviest run of partners in the order of
+    both, found in n log n steps; trees are walked without recursion, so that
+    neither depth nor width is bounded.
+    """
+    if one == two:
+        return {k: k for k in range(one.count("\n") + 1)}
     a, b = _tree(one), _tree(two)
-    size: dict[tuple[int, int], int] = {}
-    best: dict[tuple[int, int], list[list[int]]] = {}
-
-    def solve(x: int, y: int) -> int:
-        if a[x][0] != b[y][0]:
-            return 0
-        if (x, y) in size:
-            return size[x, y]
-        ca, cb = a[x][1], b[y][1]
-        m = [[0] * (len(cb) + 1) for _ in range(len(ca) + 1)]
-        for i, c in enumerate(ca, 1):
-            for j, d in enumerate(cb, 1):
-                w = solve(c, d) if a[c][0] == b[d][0] else 0
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w)
-        best[x, y], size[x, y] = m, m[-1][-1] + 1
-        return size[x, y]
-
-    out: dict[int, int] = {}
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-    if not solve(0, 0):
-        return out
-    todo = [(0, 0)]
+    if a[0][0] != b[0][0]:
+        return {}
+    pairs, partners = [(0, 0)], {}
+    for x, y in pairs:  # grows while it is walked
+        place = {b[d][0]: (j, d) for j, d in enumerate(b[y][1])}
+        partners[x] = [(place[a[c][0]][0], c) for c in a[x][1] if a[c][0] in place]
+        pairs += [(c, place[a[c][0]][1]) for _, c in partners[x]]
+    weight: dict[int, int] = {}
+    chosen: dict[int, list[int]] = {}
+    for x, y in reversed(pairs):
+        weight[x], chosen[x] = _heaviest(partners[x], weight, len(b[y][1]))
+    out, todo, partner = {}, [0], dict(pairs)
     while todo:
-        x, y = todo.pop()
-        out[x] = y
-        m, ca, cb = best[x, y], a[x][1], b[y][1]
-        i, j = len(ca), len(cb)
-        while i and j:
-            if m[i][j] == m[i - 1][j]:
-                i -= 1
-            elif m[i][j] == m[i][j - 1]:
-                j -= 1
-            else:
-                todo.append((ca[i - 1], cb[j - 1]))
-                i, j = i - 1, j - 1
+        x = todo.pop()
+        out[x] = partner[x]
+        todo += chosen[x]
     return out
 
 
+def _heaviest(found: list[tuple[int, int]], weight: dict[int, int], n: int) -> tuple[int, list[int]]:
+    """One plus the weight of, and the children in, the heaviest subsequence of
+    (place, child) with rising places; by a Fenwick tree of best weights."""
+    best: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+    before = []
+    for k, (j, c) in enumerate(found):
+        top, i = (0, -1), j
+        while i:
+            top, i = max(top, best[i]), i & (i - 1)
+        before.append(top[1])
+        own, i = (top[0] + weight[c], k), j + 1
+        while i <= n:
+            best[i], i = max(best[i], own), i + (i & -i)
+    top, i = (0, -1), n
+    while i:
+        top, i = max(top, best[i]), i & (i - 1)
+    out, k = [], top[1]
+    while k >= 0:
+        out.append(found[k][1])
+        k = before[k]
+    return top[0] + 1, out[::-1]
+
+
+_CONTAINER = re.compile(r"(?:html|body|div|article|main|section|center|table|tbody|tr|td|#root)(?:\.|$)")
+_FINAL = re.compile(r"(?:article|main)(?:\.|$)")
+
+
+def content_slot(skeleton: str, volume: dict[int, int]) -> int:
+    """The slot that holds the varying text: from the root down into the child
+    with DOMINANT of it, as long as that is a container and leaves no varying
+    heading behind; -1 if nothing varies."""
+    tree = _tree(skeleton)
+    total = [volume.get(k, 0) for k in range(len(tree))]
+    heads = [int(total[k] > 0 and re.match(r"h[1-6](?:\.|$)", tree[k][0]) is not None) for k in range(len(tree))]
+    for k in reversed(range(len(tree))):
+        for c in tree[k][1]:
+            total[k] += total[c]
+            heads[k] += heads[c]
+    if total[0] <= 0:
+        return -1
+    at = 0
+    while not _FINAL.match(tree[at][0]):
+        top = max(tree[at][1], key=lambda c: total[c], default=None)
+        if top is None or not _CONTAINER.match(tree[top][0]) or total[top] < DOMINANT * total[at] or heads[top] < heads[at]:
+            break
+        at = top
+    return at
+
+
 def skeleton_hash(skeleton: str) -> int:
     return text_hash(skeleton)
 
 
 def _features(pages: DataFrame) -> DataFrame:
     """(host, body, skel, skeleton, slots): one row per page with a host; body is
-    a hash of the main text, slots are its (node, text hash) pairs."""
+    a hash of the main text, slots are its (node, text hash, characters outside
+    links)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,35 +412,36 @@ def _features(pages: DataFrame) -> DataFrame:
                     continue
                 page = Page(text.as_py())
                 # what is left out by meaning need not be induced
-                slots = sorted({(b[0], text_hash(b[1])) for b in page.blocks if b[2]})
+                slots = sorted({(b[0], text_hash(b[1]), max(0, len(b[1]) - b[3])) for b in page.blocks if b[2]})
                 body = text_hash("\n".join(b[1] for b in page.blocks if b[2]))
-                rows.append((host, body, skeleton_hash(page.skeleton), page.skeleton, [{"node": n, "h": h} for n, h in slots]))
+                rows.append((host, body, skeleton_hash(page.skeleton), page.skeleton, [{"node": n, "h": h, "len": k} for n, h, k in slots]))
             cols = list(zip(*rows)) or [[], [], [], [], []]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("node", pa.int32()), ("h", pa.int64())]))]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("node", pa.int32()), ("h", pa.int64()), ("len", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["host", "body", "skel", "skeleton", "slots"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, body long, skel long, skeleton string, slots array<struct<node:int,h:long>>")
+    return pages.select("url", "html").mapInArrow(run, "host string, body long, skel long, skeleton string, slots array<struct<node:int,h:long,len:long>>")
 
 
 def induce(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONSTANT) -> DataFrame:
-    """(host, skel, drop): for each skeleton of a host the (node, text hash)
-    pairs that are template. Pages with the same body count once, so that many
-    copies of one article do not make it a template."""
+    """(host, skel, root, drop): for each skeleton of a host the node that is the
+    content slot (-1: it has none) and the (node, text hash) pairs that are
+    template. Pages with the same body count once, so that many copies of one
+    article do not make it a template."""
     spark = pages.sparkSession
     seen = _features(pages).groupBy("host", "body", "skel").agg(F.first("skeleton").alias("skeleton"), F.first("slots").alias("slots"))
     seen = materialize(spark, seen, "page-slots")
     total = seen.groupBy("host").agg(F.countDistinct("body").alias("total")).filter(F.col("total") >= min_pages)
     total = materialize(spark, total, "host-pages")
     slot = seen.select("host", "skel", F.explode("slots").alias("s")).groupBy("host", "skel", F.col("s.node").alias("node"), F.col("s.h").alias("h"))
-    slot = materialize(spark, slot.agg(F.count("*").alias("n")), "slot-texts")
+    slot = materialize(spark, slot.agg(F.count("*").alias("n"), F.max("s.len").alias("len")), "slot-texts")
     # a text on too few pages of its host in any slot is constant in none
     often = slot.groupBy("host", "h").agg(F.sum("n").alias("upper")).filter(F.col("upper") >= constant * min_pages)
     often = often.join(total, "host").filter(F.col("upper") >= constant * F.col("total")).select("host", "h", "total")
     often = materialize(spark, often, "frequent-texts")
-    kinds = seen.join(often.select("host").distinct(), "host", "left_semi").groupBy("host", "skel").agg(F.first("skeleton").alias("skeleton"), F.count("*").alias("n"))
+    kinds = seen.join(total.select("host"), "host", "left_semi").groupBy("host", "skel").agg(F.first("skeleton").alias("skeleton"), F.count("*").alias("n"))
     kinds = materialize(spark, kinds, "skeletons")
-    order = F.struct("n", "skel")
-    pivot = kinds.groupBy("host").agg(F.max_by("skeleton", order).alias("pivot"))
+    pivot = kinds.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skel")).alias("pivot"))
+    pivot = materialize(spark, pivot, "references")
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,13 +453,28 @@ def induce(pages: DataFrame, min_pages: int = MIN_PAGES, constant: float = CONST
             kinds_ = [pa.string(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_)], names=["host", "skel", "node", "slot"])
 
-    aligned = kinds.join(pivot, "host").select("host", "skel", "skeleton", "pivot").mapInArrow(align, "host string, skel long, node int, slot int")
-    aligned = materialize(spark, aligned, "aligned")
+    # by skeleton too: those of a large host are aligned by many tasks
+    both = kinds.join(pivot, "host").select("host", "skel", "skeleton", "pivot").repartition("host", "skel")
+    aligned = materialize(spark, both.mapInArrow(align, "host string, skel long, node int, slot int"), "aligned")
     known = slot.join(often, ["host", "h"]).join(aligned, ["host", "skel", "node"])
-    fixed = known.groupBy("host", "slot", "h").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
-    fixed = fixed.filter(F.col("n") >= constant * F.col("total")).select("host", "slot", "h")
+    fixed = known.groupBy("host", "slot", "h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("len")).alias("volume"), F.first("total").alias("total"))
+    fixed = materialize(spark, fixed.filter(F.col("n") >= constant * F.col("total")).select("host", "slot", "h", "volume"), "constants")
     drop = fixed.join(aligned, ["host", "slot"]).groupBy("host", "skel").agg(F.collect_list(F.struct("node", "h")).alias("drop"))
-    return materialize(spark, drop, "templates")
+
+    # text of every slot, less what is constant in it
+    text = slot.groupBy("host", "skel", "node").agg(F.sum(F.col("n") * F.col("len")).alias("volume")).join(aligned, ["host", "skel", "node"])
+    text = text.select("host", "slot", "volume").unionByName(fixed.select("host", "slot", (-F.col("volume")).alias("volume")))
+    text = text.groupBy("host", "slot").agg(F.sum("volume").alias("volume")).groupBy("host").agg(F.collect_list(F.struct("slot", "volume")).alias("volumes"))
+
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [content_slot(t, {v["slot"]: v["volume"] for v in vs}) for t, vs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], names=["host", "slot"])
+
+    slots = pivot.join(text, "host").select("host", "pivot", "volumes").mapInArrow(choose, "host string, slot int")
+    roots = aligned.join(materialize(spark, slots, "content-slots"), ["host", "slot"]).select("host", "skel", F.col("node").alias("root"))
+    out = roots.join(drop, ["host", "skel"], "full").select("host", "skel", F.coalesce("root", F.lit(-1)).alias("root"), F.coalesce("drop", F.array()).alias("drop"))
+    return materialize(spark, out, "templates")
 
 
 _OUT = "page_id {kind}, url string, text string, n_chars long"
@@ -391,35 +483,35 @@ _OUT = "page_id {kind}, url string, text string, n_chars long"
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Main text per row of ``pages``: page_id, url, text, n_chars (code points).
 
-    A null or empty html gives an empty text; a page without a host is not
-    aligned with others; repeated rows give the same text; an empty table gives
+    A null or empty html gives an empty text; a page without a host, or whose host
+    has no second page, is not aligned with others; repeated rows give the same text; an empty table gives
     no rows; only page_id, url and html are read.
     """
     spark = pages.sparkSession
     templates = induce(pages)
-    size = templates.agg(F.sum(F.size("drop") * 12 + F.octet_length("host") + 16)).collect()[0][0] or 0
+    size = templates.agg(F.sum(F.size("drop") * 12 + F.octet_length("host") + 20)).collect()[0][0] or 0
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     shared = None
     if size <= broadcast_bytes:
-        found = {(r[0], r[1]): frozenset((d[0], d[1]) for d in r[2]) for r in templates.toLocalIterator()}
+        found = {(r[0], r[1]): (r[2], frozenset((d[0], d[1]) for d in r[3])) for r in templates.toLocalIterator()}
         shared = spark.sparkContext.broadcast(found)
-        rows = rows.withColumn("drop", F.lit(None).cast("array<struct<node:int,h:long>>"))
+        rows = rows.withColumn("root", F.lit(None).cast("int")).withColumn("drop", F.lit(None).cast("array<struct<node:int,h:long>>"))
     else:
         keyed = rows.mapInArrow(_keys, "page_id {}, url string, html string, _host string, _skel long".format(pages.schema["page_id"].dataType.simpleString()))
         hit = (F.col("_host") == F.col("host")) & (F.col("_skel") == F.col("skel"))
-        rows = keyed.join(templates.hint("merge"), hit, "left").select("page_id", "url", "html", "drop")
+        rows = keyed.join(templates.hint("merge"), hit, "left").select("page_id", "url", "html", "root", "drop")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value if shared else None
         for batch in batches:
             texts = []
-            for url, text, drop in zip(batch.column(1), batch.column(2), batch.column(3)):
+            for url, text, node, drop in zip(*batch.columns[1:]):
                 page = Page(text.as_py())
                 if known is None:
-                    template = {(d["node"], d["h"]) for d in drop.as_py() or ()}
+                    root, template = node.as_py(), {(d["node"], d["h"]) for d in drop.as_py() or ()}
                 else:
-                    template = known.get((host_of(url.as_py()), skeleton_hash(page.skeleton)), frozenset()) if known else frozenset()
-                texts.append(" ".join(page.main_blocks(template)))
+                    root, template = known.get((host_of(url.as_py()), skeleton_hash(page.skeleton)), (-1, frozenset()))
+                texts.append(" ".join(page.main_blocks(template, -1 if root is None else root)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

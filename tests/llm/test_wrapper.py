@@ -1,7 +1,7 @@
 import random
 
 from sparkrecall.llm import wrapper
-from sparkrecall.llm.wrapper import Page, extract, induce, match_trees
+from sparkrecall.llm.wrapper import Page, content_slot, extract, induce, match_trees
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -59,3 +59,103 @@ def test_edges(spark):
     got = sorted(((r["page_id"], r["n_chars"]) for r in extract(df).collect()), key=str)
     assert got == sorted([(1, 0), (None, 1), (2, 0), (2, 0), (3, 999_999)], key=str)
     assert extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_names_that_only_sound_like_page_parts():
+    for attr in ('class="notice-of-death"', 'class="form-of-government"', 'id="related-work"', 'class="menu-engineering"', 'class="adverse"'):
+        assert Page(f"<article><p>a</p><div {attr}>kept</div></article>").main_blocks() == ["a", "kept"], attr
+    for attr in ('class="cookie-notice"', 'id="comments"', 'class="x ad-slot-3"', 'class="related"', 'class="site_footer"', 'class="newsletter-signup"'):
+        assert Page(f"<article><p>a</p><div {attr}>gone</div></article>").main_blocks() == ["a"], attr
+
+
+def recursive(one, two):
+    """Simple tree matching by its recurrence: the size of the largest matching."""
+
+    def tree(skeleton):
+        nodes, path = [], []
+        for line in skeleton.split("\n"):
+            depth, _, sig = line.partition(" ")
+            node = (sig, [])
+            del path[int(depth) :]
+            if path:
+                path[-1][1].append(node)
+            path.append(node)
+            nodes.append(node)
+        return nodes[0]
+
+    def size(x, y):
+        if x[0] != y[0]:
+            return 0
+        m = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, c in enumerate(x[1], 1):
+            for j, d in enumerate(y[1], 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + size(c, d))
+        return m[-1][-1] + 1
+
+    return size(tree(one), tree(two))
+
+
+def test_matching_against_the_recurrence():
+    rnd = random.Random(8)
+
+    def grow(depth):
+        lines = [f"{depth} "]
+        for sig in rnd.sample("abcdefg", rnd.randint(0, 5 if depth < 3 else 0)):
+            own = grow(depth + 1)
+            own[0] = f"{depth + 1} {sig}"
+            lines += own
+        return lines
+
+    for _ in range(300):
+        one, two = grow(0), grow(0)
+        one[0] = two[0] = "0 html"
+        found = match_trees("\n".join(one), "\n".join(two))
+        assert len(found) == recursive("\n".join(one), "\n".join(two)) and len(set(found.values())) == len(found)
+        assert all(one[x].split(" ")[1] == two[y].split(" ")[1] for x, y in found.items())
+
+
+def test_deep_and_wide_trees():
+    deep = "\n".join(f"{k} div" for k in range(25_000))
+    assert len(match_trees(deep, deep + "\n25000 p")) == 25_000
+    wide = "0 body\n" + "\n".join(f"1 p.c{k}" for k in range(3000))
+    assert len(match_trees(wide, wide + "\n1 hr")) == 3001
+    assert Page("<div>" * 5000 + "x" + "<p>y").main_blocks() == ["x", "y"]
+
+
+def test_content_slot():
+    tree = "0 html\n1 body\n2 div.a\n3 ul\n2 div.b\n3 h1\n3 div.c\n4 p"
+    assert content_slot(tree, {3: 10, 5: 30, 7: 900}) == 4  # the heading varies: its container stays
+    assert content_slot(tree, {3: 10, 7: 900}) == 6
+    assert content_slot(tree, {3: 500, 7: 900}) == 1  # nothing dominates
+    assert content_slot(tree, {}) == -1
+    assert content_slot("0 html\n1 article\n2 section\n3 p\n2 p", {3: 900, 4: 5}) == 1
+
+
+def layout(rnd, i, article="div class=x1"):
+    word = lambda n: " ".join(rnd.choices(["al", "be", "ga", "de", "ep", "ze"], k=n)) + f" {i}"
+    body = f"<h1>{word(4)}</h1><h2>Introduction</h2><p>{word(40)}</p><h2>Method</h2><p>{word(60)}</p>"
+    html = f"<html><body><div class=x0><ul><li><a href=/>{word(2)}</a></li><li><a href=/>{word(2)}</a></li></ul></div><div class=x2>{word(3)}</div><{article}>{body}<p>All about us</p></{article.split()[0]}><div class=x3>The end</div></body></html>"
+    want = [x for x in __import__("re").findall(r"<(?:h1|h2|p)>([^<]*)<", body)]
+    return html, " ".join(want)
+
+
+def test_induction_alone_finds_the_content_slot(spark):
+    """No tag or class says what is content: menus and adverts vary too."""
+    rnd, rows, want = random.Random(9), [], {}
+    for n, host in ((20, "big"), (3, "small")):
+        for k in range(n):
+            i = len(rows)
+            html, want[i] = layout(rnd, i)
+            rows.append((i, f"http://{host}.example/{i}", html))
+    for limit in (wrapper.BROADCAST_BYTES, 0):
+        got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, PAGES), limit).collect()}
+        assert got == want
+
+
+def test_constant_headings_of_an_article_stay(spark):
+    rnd, rows, want = random.Random(9), [], {}
+    for i in range(20):
+        body = " ".join(rnd.choices("abcdefgh", k=30))
+        rows.append((i, "http://h.example/", f"<article><h1>T{i}</h1><h2>Introduction</h2><p>{body} {i}</p></article><footer>f</footer>"))
+        want[i] = f"T{i} Introduction {body} {i}"
+    assert {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, PAGES)).collect()} == want
