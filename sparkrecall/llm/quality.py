@@ -23,8 +23,10 @@ from .common import is_held_out, materialize
 PASSAGE = 64
 #: Labelled documents to learn from at most: those with the smallest hashes of text.
 MAX_LABELLED = 4000
-#: Passages of one training document at most (evenly spread); scoring reads all.
-MAX_TRAIN_PASSAGES = 16
+#: Passages to learn from at most, over all labelled documents: the sample ends
+#: before the document that goes beyond. A sampled document teaches with all of
+#: its passages, one that has more than a sixteenth of these is not sampled.
+MAX_TAUGHT = 1 << 16
 _MARKS = (".", ",", "!", "?", "|", "#", "%", "$", "&", "*", ":", ";", "(", '"', "-", "/", "=", "@", "<", "{")
 N_FEATURES = 14 + len(_MARKS)
 
@@ -82,7 +84,8 @@ def passages(text: str | None, size: int = 1 << 20) -> Iterator[list[str]]:
 
 
 def encode(text: str | None) -> np.ndarray:
-    """One row of features for every passage."""
+    """One row of features for every passage; a text without words has one row of
+    zeros, so that what it is worth can be learned."""
     rows: list[list[float]] = []
     parts: list[np.ndarray] = []
     for words in passages(text):
@@ -90,6 +93,8 @@ def encode(text: str | None) -> np.ndarray:
         if len(rows) == 4096:
             parts.append(np.array(rows, dtype=np.float32))
             rows = []
+    if not rows and not parts:
+        rows.append([0.0] * N_FEATURES)
     parts.append(np.array(rows, dtype=np.float32).reshape(-1, N_FEATURES))
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
@@ -105,8 +110,6 @@ class MIL:
     def __call__(self, features: np.ndarray) -> tuple[float, np.ndarray]:
         """Score of one document and the weights of its passages."""
         p = self.p
-        if not len(features):
-            return float(1 / (1 + math.exp(-float(p["b"][0])))), np.zeros(0)
         x = (features - self.mean) / self.scale
         h = np.tanh(x @ p["E"] + p["e"])
         s = (np.tanh(h @ p["V"]) / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))) @ p["w"]
@@ -171,14 +174,15 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 150, hidden: i
     return MIL(p, mean, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> MIL:
-    """Learn from at most ``max_labelled`` labelled rows that are not held out.
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_taught: int = MAX_TAUGHT) -> MIL:
+    """Learn from at most ``max_labelled`` labelled rows that are not held out and
+    have at most ``max_taught`` passages together.
 
-    They are those with the smallest hash of their text (ties: doc_id), the same
-    at every partitioning; their passages, at most MAX_TRAIN_PASSAGES each, are
-    encoded on the executors, and only those features come to the driver.
+    They are those with the smallest hash of doc_id (ties: doc_id), the same at
+    every partitioning. All passages of each are encoded on the executors, and
+    only those features come to the driver.
     """
-    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     known = known.filter(f"doc_id is not null and not {is_held_out()}").withColumnRenamed("doc_id", "_id")
     # ids first: texts are read only for the rows that the sample keeps
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
@@ -188,25 +192,35 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                found = encode(text.as_py())
-                if len(found) > MAX_TRAIN_PASSAGES:
-                    found = found[np.arange(MAX_TRAIN_PASSAGES) * len(found) // MAX_TRAIN_PASSAGES]
-                out.append(found.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "quality", "x"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = [encode(text.as_py()) for text in part.column(1)]
+                x = [f.astype("<f4").tobytes() if len(f) <= max_taught // 16 else None for f in out]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array([len(f) for f in out], pa.int64()), pa.array(x, pa.binary())], names=["doc_id", "quality", "n", "x"]
+                )
 
-    found = rows.mapInArrow(run, "doc_id long, quality int, x binary")
-    data = sorted(((r[0], r[1], bytes(r[2])) for r in found.toLocalIterator() if len(r[2])))
-    bags = [np.frombuffer(x, dtype="<f4").reshape(-1, N_FEATURES).astype(np.float64) for _, _, x in data]
-    return fit(bags, np.array([float(q > 0) for _, q, _ in data]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = materialize(docs.sparkSession, rows.mapInArrow(run, f"doc_id {kind}, quality int, n long, x binary").filter("x is not null"), "taught")
+    found = found.withColumn("h", F.xxhash64("doc_id"))
+    taken, last = 0, None
+    for r in found.groupBy("h").agg(F.sum("n").alias("n")).orderBy("h").toLocalIterator():
+        taken += r["n"]
+        if taken > max_taught:
+            break
+        last = r["h"]
+    if last is None:
+        return fit([], np.zeros(0))
+    data = sorted((r["h"], str(r["doc_id"]), r["quality"], bytes(r["x"])) for r in found.filter(F.col("h") <= last).toLocalIterator())
+    bags = [np.frombuffer(x, dtype="<f4").reshape(-1, N_FEATURES).astype(np.float64) for *_, x in data]
+    return fit(bags, np.array([float(q > 0) for _, _, q, _ in data]))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Null and empty texts have no passage and get the score of the bias alone;
-    ties and repeated rows score alike; with no labels every score is a half; an
+    Null and empty texts are a bag of one empty passage, in training as in
+    scoring; ties and repeated rows score alike; with no labels every score is a half; an
     empty table gives no rows; doc_id serves only to match labels, and only it
     and text are read.
     """
