@@ -1,9 +1,10 @@
 import random
 import re
+from array import array
 
 from pyspark.sql import functions as F
 
-from sparkrecall.llm.decontaminate import WuManber, decontaminate, find_contamination, n_hit
+from sparkrecall.llm.decontaminate import PatternSet, decontaminate, find_contamination, n_hit
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -52,9 +53,36 @@ def test_against_brute_force(spark, words, docs_of):
 
 
 def test_shift_tables():
-    t = WuManber([tuple(b"abcdefghij"[i : i + 1] for i in range(10))])
-    assert t.jump == 9 and t.shift[(b"i", b"j")] == 0 and t.shift[(b"a", b"b")] == 8
-    assert list(t.search([b"x"] * 50)) == []
+    p = PatternSet([(1, "a b c d e f g h i j"), (2, "q r")])
+    short, t = p.tables
+    n = p.words
+    key = lambda x, y: n[x] << 32 | n[y]
+    assert t.jump == 9 and t.table[key(b"i", b"j")] == -1 and t.table[key(b"a", b"b")] == 8 and short.length == 2
+    assert list(t.search(array("I", [0]) * 50)) == []
+    assert p.scan("x a b c d e f g h i j q r q") == (14, [(1, 13)], {1, 2})
+
+
+def test_memory_of_the_tables():
+    import tracemalloc
+
+    rnd = random.Random(5)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(30_000)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=100))) for k in range(1500)]
+    size = sum(len(t) + 16 for _, t in items)
+    tracemalloc.start()
+    patterns = PatternSet(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert patterns.scan(items[7][1])[2] == {7} and held < 25 * size
+
+
+def test_columns_may_have_any_name(spark, docs_of):
+    bench = spark.createDataFrame([(k, f"alpha{k} beta gamma") for k in range(20)], "item_id bigint, text string")
+    docs = docs_of(["x alpha3 beta gamma", "clean", None, "alpha9 beta gamma"], ids=[None, 2, 3, 3]).selectExpr("*", "1 as id", "2 as h", "3 as th", "map('a', 1) as row")
+    for size in (1 << 20, 100):
+        left = decontaminate(docs, bench, block_bytes=size)
+        assert left.columns == docs.columns and sorted((r["doc_id"], r["text"], r["id"], r["th"]) for r in left.collect()) == [(2, "clean", 1, 3), (3, None, 1, 3)]
+        assert decontaminate(docs.filter("false"), bench, block_bytes=size).count() == 0
 
 
 def test_empty_tables(spark, docs_of):
