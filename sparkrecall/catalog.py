@@ -144,23 +144,64 @@ def _label_cands(t) -> DataFrame:
     return rows.join(sims, "id")
 
 
-@query()
+_CANDS = """
+    WITH RECURSIVE q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+    c AS (SELECT label AS query_id, vec_id AS id, embedding::DOUBLE[] AS v, greatest(-1.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], q))) AS relevance FROM embeddings, q)"""
+
+
+def _mmr_sql(k: int, seed: bool, cands: str = "c") -> str:
+    """Greedy picks at lambda 0.7, one per step and query; ties to the higher
+    relevance, then the smaller id."""
+    first = "row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id)" if seed else "row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 12) DESC, id)"
+    return f""",
+    f AS (SELECT query_id, id, v FROM (SELECT *, {first} AS n FROM {cands}) WHERE n = 1),
+    p AS (
+        SELECT query_id, [id] AS ids, [v] AS vs, 1 AS n FROM f
+        UNION ALL
+        SELECT query_id, list_append(any_value(ids), arg_max(id, o)), list_append(any_value(vs), arg_max(v, o)), any_value(n) + 1 FROM (
+            SELECT p.query_id, p.ids, p.vs, p.n, x.id, x.v, {{'s': round(0.7 * x.relevance - 0.3 * greatest(0.0, list_max(list_transform(p.vs, lambda w: list_cosine_similarity(w, x.v)))), 12),
+                   'r': x.relevance, 'i': -x.id}} AS o
+            FROM p JOIN {cands} x ON x.query_id = p.query_id WHERE p.n < {k} AND NOT list_contains(p.ids, x.id))
+        GROUP BY query_id),
+    picks AS (SELECT query_id, arg_max(ids, n) AS ids FROM p GROUP BY 1)
+    SELECT query_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1))::INT AS rank FROM picks"""
+
+
+@query(_CANDS + _mmr_sql(20, True))
 def mmr_scored(spark, t):
     return rerank.mmr_scored(_label_cands(t), 0.7, 20, seed_first=True)
 
 
-@query()
+@query(_CANDS + _mmr_sql(20, False))
 def mmr_query(spark, t):
     return rerank.mmr_query(_label_cands(t), 0.7, 20)
 
 
-@query()
+@query(_CANDS + r""",
+    d AS (SELECT c.*, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM c JOIN documents ON doc_id = id),
+    u AS (SELECT *, row_number() OVER (PARTITION BY query_id, body ORDER BY relevance DESC, id) AS dup FROM d),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS n FROM u WHERE dup = 1 OR body = ''),
+    h AS (SELECT query_id, id, v, relevance FROM b WHERE n <= 30)""" + _mmr_sql(10, True, "h"))
 def rank_hybrid(spark, t):
     docs = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return rerank.rank_hybrid(_label_cands(t).join(docs, "id"), 0.7, 10)
 
 
-@query()
+@query(_CANDS + """,
+    r AS (SELECT query_id, id, relevance AS score, (row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) - 1)::INT AS pos, id % 3 <> 0 AS e FROM c),
+    g AS (SELECT query_id, list(score ORDER BY pos) AS s, list(e ORDER BY pos) AS e, list(pos ORDER BY pos) FILTER (NOT e) AS prim, list(pos ORDER BY pos) AS ord FROM r GROUP BY 1),
+    w AS (
+        SELECT query_id, s, e, prim, ord, 0 AS rank, 0 AS pt FROM g
+        UNION ALL
+        SELECT query_id, s, e, prim, CASE WHEN swap THEN list_transform(ord, lambda x, i: CASE i WHEN rank + 1 THEN ord[pp + 1] WHEN pp + 1 THEN ord[rank + 1] ELSE x END) ELSE ord END,
+               rank + 1, CASE WHEN swap THEN pt2 + 1 ELSE pt2 END
+        FROM (SELECT *, coalesce(e[ord[rank + 1] + 1] AND pp IS NOT NULL
+                     AND NOT (s[ord[rank + 1] + 1] > 0 AND s[ord[pp + 1] + 1] > 0 AND s[ord[rank + 1] + 1] >= 1.2 * s[ord[pp + 1] + 1]), false) AS swap
+              FROM (SELECT *, prim[pt2 + 1] AS pp FROM (
+                        SELECT *, greatest(pt, len(list_filter(coalesce(prim, []), lambda x: x <= rank))) AS pt2 FROM w WHERE rank < least(10, len(ord)))))),
+    o AS (SELECT query_id, arg_max(ord, rank) AS ord FROM w GROUP BY 1),
+    t AS (SELECT query_id, unnest(ord) AS pos, unnest(range(1, len(ord) + 1))::INT AS rank FROM o)
+    SELECT query_id, id, rank FROM t JOIN r USING (query_id, pos)""")
 def displacement_guard(spark, t):
     from pyspark.sql import Window
 
@@ -195,6 +236,15 @@ def int8_search(spark, t):
     return index.search(v.filter(STATED), 10).select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
 
 
+@query(_INT8_RANK.replace("WHERE q.id % 50 = 0", "WHERE q.id % 50 = 0 AND c.id % 3 = 1") + " SELECT query_id, id, round(s, 6) AS score, rank FROM r WHERE rank <= 10")
+def int8_search_allowed(spark, t):
+    """Only allowed ids are searched; unknown ones among them are ignored."""
+    v = _vec(t)
+    allowed = v.filter("id % 3 = 1").select("id")
+    allowed = allowed.unionByName(allowed.select((-F.col("id") - 1).alias("id")))
+    return VectorIndex(_dim(v)).upsert(v).search(v.filter(STATED), 10, allowed).select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
+
+
 def _dim(v: DataFrame) -> int:
     return len(v.select("v").first()[0])
 
@@ -225,28 +275,38 @@ def index_upsert_remove(spark, t):
     return index.rows.select("id", total.alias("code_sum"))
 
 
-@query("""
-    WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-    v AS (SELECT label AS query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS s, 'vector' AS source FROM embeddings, q),
-    f AS (SELECT label AS query_id, vec_id AS id, n_chars::DOUBLE AS s, 'fts' AS source FROM embeddings JOIN documents ON vec_id = doc_id WHERE n_chars > 1000),
-    a AS (SELECT * FROM v UNION ALL SELECT * FROM f),
-    n AS (SELECT *, min(s) OVER w AS lo, max(s) OVER w AS hi FROM a WINDOW w AS (PARTITION BY query_id, source)),
-    c AS (SELECT query_id, id, source, (CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 1.0 END) * (CASE source WHEN 'fts' THEN 0.4 ELSE 0.6 END) AS s FROM n),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY s DESC, source) AS k FROM c)
-    SELECT query_id, id, round(s, 6) AS score, source FROM r WHERE k = 1""")
-def fuse_ranks(spark, t):
+_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s_]', ' ', 'g'), '\s+'), lambda x: x <> ''))"
+_FUSED = _CANDS + f""",
+    ts AS (SELECT doc_id AS id, {_TOKENS} AS a FROM documents),
+    one AS (SELECT a AS b FROM ts WHERE id = (SELECT min(id) FROM ts)),
+    lx AS (SELECT query_id, c.id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END AS s
+           FROM c JOIN ts ON ts.id = c.id, one),
+    al AS (SELECT query_id, id, relevance AS s, 'vector' AS source FROM c UNION ALL SELECT query_id, id, s, 'fts' FROM lx),
+    nm AS (SELECT *, min(s) OVER w AS lo, max(s) OVER w AS hi FROM al WINDOW w AS (PARTITION BY query_id, source)),
+    ct AS (SELECT query_id, id, source, (CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 1.0 END) * (CASE source WHEN 'fts' THEN 0.4 ELSE 0.6 END) AS s FROM nm),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY s DESC, source) AS k FROM ct)"""
+
+
+def _both_lists(t) -> DataFrame:
+    """Per label its vectors by cosine to vector 0, and their documents by word
+    overlap with the first document."""
     cands = _label_cands(t)
     near = cands.select("query_id", "id", F.col("relevance").alias("score"), F.lit("vector").alias("source"))
-    docs = t("documents").filter("n_chars > 1000").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    lexical = cands.select("query_id", "id").join(docs, "id").select("query_id", "id", "score", F.lit("FTS").alias("source"))
-    return fusion.fuse(near.unionByName(lexical), 0.4, 0.6).select("query_id", "id", r6(F.col("score")).alias("score"), "source")
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text")
+    one = docs.orderBy("id").limit(1).select("text").collect()
+    score = scoring.token_jaccard(F.col("text"), F.lit(one[0][0] if one else None))
+    lexical = cands.select("query_id", "id").join(docs, "id").select("query_id", "id", score.alias("score"), F.lit("FTS").alias("source"))
+    return near.unionByName(lexical)
 
 
-@query()
+@query(_FUSED + " SELECT query_id, id, round(s, 6) AS score, source FROM rk WHERE k = 1")
+def fuse_ranks(spark, t):
+    return fusion.fuse(_both_lists(t), 0.4, 0.6).select("query_id", "id", r6(F.col("score")).alias("score"), "source")
+
+
+@query(_FUSED + ", fc AS (SELECT rk.query_id, rk.id, v, rk.s AS relevance FROM rk JOIN c ON c.id = rk.id WHERE k = 1)" + _mmr_sql(10, False, "fc"))
 def fuse_then_mmr(spark, t):
-    cands = _label_cands(t)
-    near = cands.select("query_id", "id", F.col("relevance").alias("score"), F.lit("vector").alias("source"))
-    return fusion.fuse_then_mmr(near, _vec(t), 0.7, 10)
+    return fusion.fuse_then_mmr(_both_lists(t), _vec(t), 0.7, 10, 0.4, 0.6)
 
 
 _INTENTS = "|".join(("find", "search", "list", "show", *text._EXPLAIN, *text._RECALL))
@@ -321,6 +381,15 @@ def bm25_topk(spark, t):
     return bm25.bm25_top_k(docs, items, 20).select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
 
 
+@query(r"""
+    WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ts FROM documents)
+    SELECT id, contains(' ' || array_to_string(ts, ' ') || ' ', ' of the ') AS phrase, list_has_any(ts, ['der', 'les']) AS either,
+           len(list_filter(ts, lambda x: starts_with(x, 'then'))) > 0 AS prefix, list_has_all(ts, ['and', 'with']) AS every FROM d""")
+def fts_match(spark, t):
+    m = lambda q: F.coalesce(bm25.matches(F.col("text"), q), F.lit(False))
+    return t("documents").select(F.col("doc_id").alias("id"), m('"of the"').alias("phrase"), m("der OR les").alias("either"), m("then*").alias("prefix"), m("and with").alias("every"))
+
+
 _EMAIL, _PHONE, _SSN = (p.removeprefix("(?U)") for p in redaction.GROUPS["pii"])
 
 
@@ -335,7 +404,23 @@ def redact_pii(spark, t):
     return out.select(F.col("doc_id").alias("id"), F.sha2("content", 256).alias("content_sha256"), "match_count", F.array_join("groups_fired", ",").alias("groups"))
 
 
-@query()
+def _scrub_sql() -> str:
+    """Pattern after pattern over what the ones before have left."""
+    steps, k = [], 0
+    for group in redaction.ORDER:
+        for p in redaction.GROUPS.get(group, ()):
+            p = p.replace("(?iU)", "(?i)").removeprefix("(?U)").replace("'", "''")
+            steps.append(f"s{k + 1} AS (SELECT * EXCLUDE (t), regexp_replace(t, '{p}', '[REDACTED:{group}]', 'g') AS t, len(regexp_extract_all(t, '{p}')) AS n_{group}_{k} FROM s{k})")
+            k += 1
+    of = {g: " + ".join(f"n_{g}_{i}" for i, h in enumerate(h for h in redaction.ORDER for _ in redaction.GROUPS.get(h, ())) if h == g) for g in redaction.ORDER if g in redaction.GROUPS}
+    names = ", ".join(f"CASE WHEN {n} > 0 THEN '{g}' END" for g, n in of.items())
+    return ", ".join(steps) + f" SELECT id, ({' + '.join(of.values())})::INT AS match_count, concat_ws(',', {names}) AS groups, sha256(t) AS content_sha256 FROM s{k}"
+
+
+_FILL = "Ab1" * 20
+
+
+@query(f"WITH s0 AS (SELECT doc_id AS id, concat_ws(' ', text, 'sk-{_FILL[:30]}', 'ghp_{_FILL[:36]}', 'AKIA{'Q7' * 8}', 'Bearer {_FILL[:30]}') AS t FROM documents), " + _scrub_sql())
 def redact_secrets(spark, t):
     """All built-in groups over all texts, one key of each planted in the text by
     the query itself, since the tables hold none."""
@@ -429,13 +514,42 @@ def length_buckets(spark, t):
     return rows.groupBy(text.length_bucket(F.col("tokens")).alias("bucket")).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE k AS ({_TOK}),
+    j AS (SELECT source AS bucket, id AS seq, tokens, row_number() OVER (PARTITION BY source ORDER BY id) AS n FROM k JOIN documents ON doc_id = id),
+    p AS (
+        SELECT bucket, seq, tokens, n, 0 AS batch, tokens AS used FROM j WHERE n = 1
+        UNION ALL
+        SELECT j.bucket, j.seq, j.tokens, j.n, batch + (used + j.tokens > 8192)::INT, CASE WHEN used + j.tokens > 8192 THEN j.tokens ELSE used + j.tokens END
+        FROM p JOIN j ON j.bucket = p.bucket AND j.n = p.n + 1)
+    SELECT bucket, seq, tokens, batch FROM p""")
 def pack_batches(spark, t):
     rows = t("documents").select(F.col("source").alias("bucket"), F.col("doc_id").alias("seq"), text.estimate_tokens(F.col("text")).alias("tokens"))
     return tokens.pack_batches(rows, 8192)
 
 
-@query()
+@query("""
+    WITH RECURSIVE j AS (
+        SELECT user_id AS queue, event_id AS seq, epoch(ts) AS ts_s, trunc(value * 10 + 1)::INT AS tokens, CASE WHEN event_type = 'error' THEN epoch(ts) + 60 END AS deadline,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (
+        SELECT queue, n, seq, 0 AS flush, ts_s AS opened, tokens AS total, false AS drained, ts_s AS now FROM j WHERE n = 1
+        UNION ALL
+        SELECT queue, n, seq, flush, opened, total, NOT first AND total >= 2048, ts_s FROM (
+            SELECT j.queue, j.n, j.seq, j.ts_s, w.drained OR j.ts_s >= w.opened + 3600 AS first, w.flush + (w.drained OR j.ts_s >= w.opened + 3600)::INT AS flush,
+                   CASE WHEN w.drained OR j.ts_s >= w.opened + 3600 THEN j.ts_s ELSE w.opened END AS opened,
+                   CASE WHEN w.drained OR j.ts_s >= w.opened + 3600 THEN 0 ELSE w.total END + j.tokens AS total
+            FROM w JOIN j ON j.queue = w.queue AND j.n = w.n + 1)),
+    f AS (SELECT queue, flush, coalesce(max(now) FILTER (drained), max(opened) + 3600) AS flushed_at FROM w GROUP BY 1, 2),
+    o AS (SELECT w.queue, w.seq, w.flush, j.tokens, j.deadline, CASE WHEN tokens <= 64 THEN 0 WHEN tokens <= 256 THEN 1 WHEN tokens <= 1024 THEN 2 ELSE 3 END AS bucket, w.n FROM w JOIN j USING (queue, n)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY queue, flush ORDER BY bucket, n) AS k FROM o),
+    b AS (
+        SELECT queue, flush, k, seq, bucket, deadline, 0 AS batch, tokens AS used FROM r WHERE k = 1
+        UNION ALL
+        SELECT r.queue, r.flush, r.k, r.seq, r.bucket, r.deadline, batch + (r.bucket <> b.bucket OR used + r.tokens > 2048)::INT,
+               CASE WHEN r.bucket <> b.bucket OR used + r.tokens > 2048 THEN r.tokens ELSE used + r.tokens END
+        FROM b JOIN r ON r.queue = b.queue AND r.flush = b.flush AND r.k = b.k + 1)
+    SELECT queue, seq, flush, flushed_at, bucket, batch, coalesce(flushed_at >= deadline, false) AS expired FROM b JOIN f USING (queue, flush)""")
 def coalesce_jobs(spark, t):
     """Every event is a job of its user's queue; windows of an hour, caps of 2,048 tokens."""
     at = F.col("ts").cast("timestamp").cast("double")
@@ -446,7 +560,10 @@ def coalesce_jobs(spark, t):
     return dispatcher.coalesce(jobs, dispatcher.DispatcherConfig(window_ms=3_600_000))
 
 
-@query()
+@query("""
+    WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents),
+    w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 510 THEN 1 ELSE 1 + ceil((n - 510) / 448.0)::INT END))::INT AS "window" FROM d)
+    SELECT doc_id, "window", ("window" * 448)::INT AS start, least(n, "window" * 448 + 510)::INT AS "end" FROM w""")
 def plan_windows(spark, t):
     return tokens.token_windows(t("documents").select("doc_id", "text"), "text", 512, 64)
 
@@ -464,11 +581,23 @@ def embed_hash(spark, t):
     return out.select("id", F.size("v").alias("dim"), r6(vectors.norm(F.col("v"))).alias("norm"), "error")
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 1, 0, 0.9), (1, 1, 2, 1, 0.8), (2, 0, 2, 0, 0.95), (2, 2, 3, 0, 0.7)) AS x(id, start, "end", label, score)""")
+@query("""
+    WITH RECURSIVE g AS (SELECT doc_id AS id, unnest(range(0, 24)) AS i FROM documents),
+    c AS (SELECT id, (i // 6)::INT AS start, (i // 6 + (i // 2) % 3 + 1)::INT AS "end", (i % 2)::INT AS label, ((id * 7919 + i * 104729 + i * i * 31) % 1000) / 1000.0::DOUBLE AS score FROM g),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, start, "end", label) AS n FROM c WHERE score >= 0.5),
+    t AS (
+        SELECT id, n, [{'a': start, 'b': "end", 'l': label, 's': score}] AS taken FROM k WHERE n = 1
+        UNION ALL
+        SELECT k.id, k.n, CASE WHEN len(list_filter(taken, lambda x: x.a < k."end" AND k.start < x.b)) > 0 THEN taken
+                               ELSE list_append(taken, {'a': k.start, 'b': k."end", 'l': k.label, 's': k.score}) END
+        FROM t JOIN k ON k.id = t.id AND k.n = t.n + 1),
+    z AS (SELECT id, unnest(arg_max(taken, n)) AS x FROM t GROUP BY 1)
+    SELECT id, x.a AS start, x.b AS "end", x.l AS label, round(x.s, 6) AS score FROM z""")
 def decode_spans(spark, t):
-    rows = spark.createDataFrame(
-        [(1, [0.9, 0.1, 0.2, 0.8], 2, 1, 2), (2, [0.6, 0.95, 0.5, 0.9, 0.7, 0.2], 3, 2, 1)], "id int, scores array<double>, max_spans int, width int, labels int"
-    )
+    """Scores of four starts, three widths and two labels, made from each id."""
+    i = F.sequence(F.lit(0), F.lit(23))
+    scores = F.transform(i, lambda i: F.pmod(F.col("doc_id") * 7919 + i * 104729 + i * i * 31, F.lit(1000)) / 1000.0)
+    rows = t("documents").select(F.col("doc_id").alias("id"), scores.alias("scores"), F.lit(4).alias("max_spans"), F.lit(3).alias("width"), F.lit(2).alias("labels"))
     return models.decode_spans(rows, 0.5).select("id", "start", "end", "label", r6(F.col("score")).alias("score"))
 
 
@@ -491,7 +620,18 @@ def retry_backoff(spark, t):
     return t("lineitem").select("l_orderkey", "l_linenumber", r6(control.retry_delay(F.col("l_linenumber"))).alias("delay"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE c AS (
+        SELECT user_id AS key, event_id AS seq, epoch(ts) AS ts_s, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (
+        SELECT key, n, seq, true AS admitted, 'closed' AS phase, 0.0::DOUBLE AS since, CASE WHEN ok THEN 0 ELSE 1 END AS failures, ts_s FROM c WHERE n = 1
+        UNION ALL
+        SELECT key, n, seq, adm, CASE WHEN NOT adm THEN phase WHEN ok THEN 'closed' WHEN fails >= 2 OR phase <> 'closed' THEN 'open' ELSE 'closed' END,
+               CASE WHEN adm AND (phase <> 'closed' OR NOT ok AND fails >= 2) THEN ts_s ELSE since END, fails, ts_s
+        FROM (SELECT *, CASE WHEN NOT adm THEN failures WHEN ok THEN 0 ELSE failures + 1 END AS fails
+              FROM (SELECT c.key, c.n, c.seq, c.ts_s, c.ok, w.phase, w.since, w.failures, w.phase = 'closed' OR 86400 - greatest(0, c.ts_s - w.since) <= 0 AS adm
+                    FROM w JOIN c ON c.key = w.key AND c.n = w.n + 1)))
+    SELECT key, seq, admitted, CASE WHEN phase = 'closed' THEN 'closed' WHEN 86400 - greatest(0, ts_s - since) > 0 THEN 'open' ELSE 'half_open' END AS state, failures FROM w""")
 def breaker_replay(spark, t):
     calls = t("events").select(
         F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").cast("double").alias("at"), (F.col("event_type") != "error").alias("ok")
@@ -579,7 +719,25 @@ def stream_hourly(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.table(view).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ts FROM documents),
+    st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
+    tf AS (SELECT id, dl, t, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS t FROM d) GROUP BY ALL),
+    df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+    q AS (SELECT DISTINCT id AS query_id, unnest(ts) AS t FROM d JOIN embeddings ON vec_id = id WHERE id % 50 = 0),
+    sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS s
+           FROM q JOIN tf USING (t) JOIN df USING (t), st GROUP BY 1, 2),
+    lx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM sc),
+    e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+    ns AS (SELECT a.id AS query_id, e.id, round(greatest(-1.0, least(1.0, list_cosine_similarity(a.v, e.v))), 12) AS s FROM e a JOIN d ON d.id = a.id, e WHERE a.id % 50 = 0),
+    nr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM ns),
+    al AS (SELECT query_id, id, s, 'fts' AS source FROM lx WHERE rank <= 100 UNION ALL SELECT query_id, id, s, 'vector' FROM nr WHERE rank <= 100),
+    nm AS (SELECT *, min(s) OVER w AS lo, max(s) OVER w AS hi FROM al WINDOW w AS (PARTITION BY query_id, source)),
+    fu AS (SELECT query_id, id, max(0.5 * CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 1.0 END) AS relevance FROM nm GROUP BY 1, 2),
+    bd AS (SELECT fu.*, v, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM fu JOIN documents ON doc_id = fu.id JOIN e ON e.id = fu.id),
+    u AS (SELECT *, row_number() OVER (PARTITION BY query_id, body ORDER BY relevance DESC, id) AS dup FROM bd),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS n FROM u WHERE dup = 1 OR body = ''),
+    h AS (SELECT query_id, id, v, relevance FROM b WHERE n <= 30)""" + _mmr_sql(10, True, "h"))
 def hybrid_pipeline(spark, t):
     """Lexical and vector candidates of each stated document, fused and reranked."""
     docs = t("documents").select(F.col("doc_id").alias("id"), "text")
