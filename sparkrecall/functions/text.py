@@ -128,3 +128,8 @@ def format_log(event: Column, *args: Column, **kw: Column) -> Column:
 
 def sha256_hex(t: Column) -> Column:
     return F.sha2(t, 256)
+
+
+def hash_provider() -> str:
+    """What computes digests: the security provider of the JVM."""
+    return "jvm"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +42,17 @@ class Graph:
                 seen = seen.unionByName(front)
         return seen
 
-    def shortest_path(self, pairs: DataFrame, max_hops: int = 64) -> DataFrame:
+    def shortest_path(self, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
         """(src, dst, path): fewest hops, smallest path by ids among equals; a node
-        to itself is one step long; unreachable or unknown pairs have no row."""
+        to itself is one step long; unreachable or unknown pairs have no row. The
+        walk ends where it finds nothing new, or after ``max_hops``."""
         known = pairs.select("src", "dst").distinct().join(self.nodes.withColumnRenamed("id", "src"), "src", "left_semi")
         front = known.select("src", "dst", F.col("src").alias("at"), F.array("src").alias("path"))
         done = front.filter("at = dst")
         front = _cut(front.filter("at <> dst"))
         seen = front.select("src", "dst", "at")
         edges = self.hops.withColumnRenamed("src", "e_src").withColumnRenamed("dst", "e_dst")
-        for _ in range(max_hops):
+        for _ in count() if max_hops is None else range(max_hops):
             step = front.join(edges, front["at"] == edges["e_src"]).select("src", "dst", F.col("e_dst").alias("at"), F.concat("path", F.array("e_dst")).alias("path"))
             step = step.groupBy("src", "dst", "at").agg(F.min("path").alias("path")).join(seen, ["src", "dst", "at"], "left_anti")
             step = _cut(step)

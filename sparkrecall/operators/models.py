@@ -103,3 +103,11 @@ PROVIDERS = {
     "macos_apple_silicon": ("CoreML", "CPU"),
     "cpu_only": ("CPU",),
 }
+
+
+def ep_priority(platform: str) -> tuple[str, ...]:
+    """Execution providers to try on a platform, the best first."""
+    try:
+        return PROVIDERS[platform]
+    except KeyError:
+        raise ValueError(f"unknown platform {platform!r}, known are {sorted(PROVIDERS)}") from None

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,14 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int, ids: pa.Array | None = None) -> np.ndarray:
+    """The rows of a list column; a null or a list of another length than ``dim``
+    is an error that names the first such row."""
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    if len(column) and not pc.all(good).as_py():
+        at = good.index(False).as_py()
+        name = f"id {ids[at]}" if ids is not None else f"row {at}"
+        raise ValueError(f"{name}: a vector of {dim} numbers was expected, found {'null' if not column[at].is_valid else len(column[at])}")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
@@ -31,7 +39,11 @@ def blocks_of(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[np.ndarr
         if rows.num_rows:
             ids = rows.column(0).to_numpy()
             v = rows.column(1).combine_chunks()
-            yield ids, _matrix(v, len(v[0]))
+            own = rows.column(0).combine_chunks()
+            m = _matrix(v, len(v[0]) if v[0].is_valid else -1, own)
+            if not np.isfinite(m).all():
+                raise ValueError(f"query {own[int(np.argmin(np.isfinite(m).all(axis=1)))]} has a part that is not finite")
+            yield ids, m
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -66,7 +78,7 @@ def _block_top_k(corpus: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), q.shape[1])
+            own, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), q.shape[1], batch.column(0))
             scale = batch.column(2).to_numpy(zero_copy_only=False)[None, :] if codes else 1.0
             s = q @ (m if codes else _unit(m)).T * scale
             s = s if codes else np.clip(s, -1, 1)
@@ -96,7 +108,7 @@ def max_pool(corpus: DataFrame, anchors: DataFrame, block: int = BLOCK) -> DataF
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    s = np.clip(_unit(_matrix(batch.column(1), shared.value.shape[1])) @ shared.value.T, -1, 1).max(axis=1)
+                    s = np.clip(_unit(_matrix(batch.column(1), shared.value.shape[1], batch.column(0))) @ shared.value.T, -1, 1).max(axis=1)
                     s = np.maximum(s, batch.column(2).to_numpy(zero_copy_only=False))
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["id", "v", "score"])
 

@@ -26,11 +26,15 @@ class VectorIndex:
 
     def upsert(self, df: DataFrame, order: str | None = None) -> "VectorIndex":
         """Insert or replace (id, v); the whole batch is checked before any of it
-        counts. Of rows with the same id the last by ``order`` wins."""
+        counts. Of rows with the same id the last by ``order`` wins; without an
+        ``order`` there is no last one, and such rows are an error."""
         if order:
             last = df.groupBy("id").agg(F.max_by("v", order).alias("v"))
         else:
-            last = df.dropDuplicates(["id"])
+            twice = [r[0] for r in df.groupBy("id").count().filter("count > 1").select("id").limit(5).collect()]
+            if twice:
+                raise ValueError(f"ids that stand twice need an order: {twice}")
+            last = df
         new = self._encoded(last)
         if self.rows is None:
             return VectorIndex(self.dim, new)

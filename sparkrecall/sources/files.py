@@ -19,7 +19,8 @@ SCHEMA = "path string, size long, mtime double, is_dir boolean, error string"
 def walk(root: str, ignores: frozenset[str] = frozenset(), max_depth: int | None = None, follow: bool = False) -> Iterator[tuple]:
     """Every file and directory below ``root``. An ignored directory is left out
     with all below it; depth 0 is the direct children; links are skipped unless
-    followed, each real directory once. Errors below the root are rows."""
+    followed, each real directory once. Errors below the root are rows, as is a
+    directory at MAX_DEPTH whose entries the caller had not ruled out."""
     limit = MAX_DEPTH if max_depth is None or max_depth < 0 else min(max_depth, MAX_DEPTH)
     seen = {os.path.realpath(root)}
     todo = [(root, 0)]
@@ -51,6 +52,8 @@ def walk(root: str, ignores: frozenset[str] = frozenset(), max_depth: int | None
                 yield e.path, 0, st.st_mtime, True, None
                 if depth < limit:
                     todo.append((e.path, depth + 1))
+                elif depth == MAX_DEPTH and (max_depth is None or max_depth < 0 or max_depth > MAX_DEPTH):
+                    yield e.path, None, None, None, f"more than {MAX_DEPTH} levels down: its entries were not visited"
             else:
                 yield e.path, st.st_size, st.st_mtime, False, None
 
