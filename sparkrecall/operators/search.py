@@ -1,7 +1,7 @@
 """Vector search: stated queries against all rows, query block by query block.
 
-Vectors meet in numpy: each corpus batch is one matrix product with a broadcast
-block of queries, and a partition keeps only its best k per query.
+Vectors meet in numpy: a corpus batch meets a broadcast block of queries in
+matrix products of bounded size, and a task keeps only its best k per query.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .best import Best, columns_at_once, few_tasks, ranked
+
 #: Queries that are sent to the executors at once.
 BLOCK = 2048
 
@@ -63,8 +65,8 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, codes: bool = False, bl
         out = part if out is None else out.unionByName(part)
     if out is None:
         return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = ranked(out, k)
+    return out.withColumn("score", F.when(F.col("score") == float("-inf"), float("nan")).otherwise(F.col("score")))
 
 
 def _block_top_k(corpus: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, codes: bool) -> DataFrame:
@@ -72,45 +74,42 @@ def _block_top_k(corpus: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q = shared.value
-        best_s = np.full((len(q_ids), 0), -np.inf)
-        best_i = np.zeros((len(q_ids), 0), dtype=np.int64)
-        live = (np.linalg.norm(q, axis=1) > 0) | (not codes)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), q.shape[1], batch.column(0))
-            scale = batch.column(2).to_numpy(zero_copy_only=False)[None, :] if codes else 1.0
-            s = q @ (m if codes else _unit(m)).T * scale
-            s = s if codes else np.clip(s, -1, 1)
-            best_s = np.concatenate([best_s, s], axis=1)
-            best_i = np.concatenate([best_i, np.broadcast_to(own, s.shape)], axis=1)
-            order = np.lexsort((best_i, -np.round(best_s, 12)), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        n = best_s.shape[1]
-        if n:
-            rows = np.repeat(live, n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q_ids, n)[rows]), pa.array(best_i.ravel()[rows]), pa.array(np.round(best_s.ravel()[rows], 12))],
-                names=["query_id", "id", "score"],
-            )
+        if codes:
+            live = np.linalg.norm(q, axis=1) > 0
+            q_ids, q = q_ids[live], q[live]
+        best, width = Best(len(q_ids), k), columns_at_once(len(q_ids))
+        for whole in batches:
+            for at in range(0, whole.num_rows, width):
+                batch = whole.slice(at, width)
+                own, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), q.shape[1], batch.column(0))
+                if codes:
+                    s = q @ m.T * batch.column(2).to_numpy(zero_copy_only=False)[None, :]
+                else:
+                    s = np.clip(q @ _unit(m).T, -1, 1)
+                # what is no number comes last
+                best.add(np.nan_to_num(np.round(s, 12), copy=False, nan=-np.inf), own)
+        yield from best.rows(q_ids)
 
     cols = ["id", "codes", "scale"] if codes else ["id", "v"]
-    return corpus.select(*cols).mapInArrow(run, "query_id long, id long, score double")
+    return few_tasks(corpus.select(*cols).mapInArrow(run, "query_id long, id long, score double"))
 
 
 def max_pool(corpus: DataFrame, anchors: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, score): the best cosine of any anchor per row; -1 without anchors."""
-    best = F.lit(-1.0)
-    out = corpus.select("id", "v", best.alias("score"))
-    for _, vectors in blocks_of(anchors, block):
-        shared = corpus.sparkSession.sparkContext.broadcast(_unit(vectors))
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    s = np.clip(_unit(_matrix(batch.column(1), shared.value.shape[1], batch.column(0))) @ shared.value.T, -1, 1).max(axis=1)
-                    s = np.maximum(s, batch.column(2).to_numpy(zero_copy_only=False))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["id", "v", "score"])
-
-        out = out.mapInArrow(run, out.schema)
-    return out.select("id", "score")
+    sc = corpus.sparkSession.sparkContext
+    # one pass for all blocks: the anchors alone are held, never their scores
+    shared = [sc.broadcast(_unit(vectors)) for _, vectors in blocks_of(anchors, block)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.full(batch.num_rows, -1.0)
+            for one in shared:
+                a = one.value
+                width = columns_at_once(len(a))
+                for at in range(0, batch.num_rows, width):
+                    part = batch.slice(at, width)
+                    found = np.clip(a @ _unit(_matrix(part.column(1), a.shape[1], part.column(0))).T, -1, 1).max(axis=0)
+                    s[at : at + width] = np.maximum(s[at : at + width], found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["id", "score"])
+
+    return corpus.select("id", "v").mapInArrow(run, f"id {dict(corpus.dtypes)['id']}, score double")
