@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrecall.operators import bm25, search
+from sparkrecall.operators import bm25, graph, search
 from sparkrecall.operators.best import Best
 from sparkrecall.plans.search import hybrid_search
 
@@ -79,3 +79,52 @@ def test_search_holds_few_scores(spark, monkeypatch):
     pool = search.max_pool(v, q, block=9)
     assert str(pool._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
     assert {r["id"]: r["score"] for r in pool.collect()} == pytest.approx({i: max(float(x @ m[j]) for j in range(0, 600, 3)) for i, x in m.items()})
+
+
+def bfs(edges, start, max_hops=99):
+    """id -> smallest of the shortest paths from ``start``."""
+    out, front = {start: [start]}, {start: [start]}
+    for _ in range(max_hops):
+        step = {}
+        for at, path in front.items():
+            for s, d in edges:
+                if s == at and d not in out:
+                    step[d] = min(step.get(d, path + [d]), path + [d])
+        out |= step
+        front = step
+    return out
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_walks_in_classes_agree_with_walks_of_each_start(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    rnd = random.Random(6)
+    # cycles, parallels, starts that share their only neighbour, one that leads back to itself
+    edges = [(f"n{rnd.randrange(12)}", f"n{rnd.randrange(12)}") for _ in range(22)] + [(f"s{i}", f"n{i % 2}") for i in range(6)] + [("n0", "s2"), ("s7", "s7"), ("s2", "n0")]
+    nodes = {x for e in edges for x in e} | {"lone"}
+    g = graph.Graph(spark.createDataFrame([(s, d, "k", 1.0) for s, d in edges], "src string, dst string, kind string, weight double"), spark.createDataFrame([("lone",)], "id string"))
+    starts = [f"s{i}" for i in range(8)] + ["n3", "n0", "lone", "nope", "n3"]
+    for hops in (0, 1, 3):
+        got = g.neighbors_within(spark.createDataFrame([(s,) for s in starts], "id string"), hops, cut=2).collect()
+        want = {(s, x, len(p) - 1) for s in set(starts) & nodes for x, p in bfs(edges, s, hops).items()}
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    pairs = [(s, d) for s in starts for d in sorted(nodes)]
+    for hops in (None, 2):
+        got = g.shortest_path(spark.createDataFrame(pairs, "src string, dst string"), hops).collect()
+        want = {(s, x): p for s in set(starts) & nodes for x, p in bfs(edges, s, 99 if hops is None else hops).items()}
+        assert len(got) == len(want) and {(r["src"], r["dst"]): r["path"] for r in got} == want
+    seeds = [("s3", 4), ("s1", 2), ("s5", 9), ("n3", 1)]
+    best = {}
+    for s, o in seeds:
+        for x, p in bfs(edges, s, 2).items():
+            if x not in {s for s, _ in seeds}:
+                best[x] = min(best.get(x, (o, len(p) - 1)), (o, len(p) - 1))
+    got = [tuple(r) for r in g.expand(spark.createDataFrame(seeds, "id string, seed_ord int"), 2, 9).collect()]
+    assert got == [(x, *b) for b, x in sorted((b, x) for x, b in best.items())][:9]
+
+
+def test_starts_with_one_neighbour_shuffle_no_walk_of_their_own(spark):
+    edges = [(f"s{i}", "hub") for i in range(200)] + [("hub", f"c{i}") for i in range(100)]
+    g = graph.Graph(spark.createDataFrame([(s, d, "k", 1.0) for s, d in edges], "src string, dst string, kind string, weight double"))
+    out = g.neighbors_within(spark.createDataFrame([(f"s{i}",) for i in range(200)], "id string"), 2)
+    assert shuffled(out) < 2000 and out.count() == 200 * 102
