@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkrecall.operators import bm25, graph, search
 from sparkrecall.operators.best import Best
 from sparkrecall.plans.search import hybrid_search
+from sparkrecall.streaming import doorbell
 
 
 def shuffled(df):
@@ -128,3 +130,18 @@ def test_starts_with_one_neighbour_shuffle_no_walk_of_their_own(spark):
     g = graph.Graph(spark.createDataFrame([(s, d, "k", 1.0) for s, d in edges], "src string, dst string, kind string, weight double"))
     out = g.neighbors_within(spark.createDataFrame([(f"s{i}",) for i in range(200)], "id string"), 2)
     assert shuffled(out) < 2000 and out.count() == 200 * 102
+
+
+def test_wakes_hold_no_group_and_trim_in_one_pass(spark):
+    rings = spark.range(30_000).selectExpr("id as seq", "cast(id as double) as at", "concat('bot@', id % 7) as recipient", "cast(null as string) as origin")
+    waits = spark.range(9).selectExpr("id * 3600.0D - 1 as at", "array('bot') as readers", "7200.0D as timeout_s").unionByName(spark.range(9).selectExpr("id * 3600.0D - 1 as at", "array('bot@3') as readers", "60.0D as timeout_s"))
+    out = doorbell.replay(rings, waits, window=60.0, keep=86400.0)
+    assert "FlatMapGroups" not in str(out._jdf.queryExecution().executedPlan())
+    got = {(r["key"], r["since"], r["at"]): (r["wake"], r["count"]) for r in out.collect()}
+    for key, deadline in (("bot", 7200.0), ("bot@3", 60.0)):
+        events = sorted([(float(i), "ring", "bot@3", None, None) for i in range(30_000) if key == "bot" or i % 7 == 3] + [(i * 3600.0 - 1, "wait", None, None, deadline) for i in range(9)])
+        want = {(key, a, b): (w["wake"], w.get("count")) for a, b, w in doorbell.fold(events, 60.0, 86400.0)[0]}
+        assert want == {k: v for k, v in got.items() if k[0] == key} and len(want) == 9
+    began = time.process_time()
+    lost = doorbell.fold([(0.0, "wait", None, None, 1.0)] + [(i / 10, "ring", "b", None, None) for i in range(60_000)] + [(7000.0, "wait", None, None, 1.0)], 1, 1000)[1]
+    assert not lost.pending and time.process_time() - began < 5
