@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of text that stand as Python strings at once, but for one longer text.
+PART_BYTES = 1 << 20
+
+
 class Backend(Protocol):
     """Texts in, one vector each out."""
 
     def run(self, texts: list[str]) -> np.ndarray: ...
 
 
+def _words(text: str, size: int = 1 << 16) -> Iterator[list[str]]:
+    """Lower-cased words between white space, piece by piece, so that a long text
+    never becomes one long list. Pieces end behind white space."""
+    at = 0
+    while at < len(text):
+        cut = at + size
+        while cut < len(text) and not text[cut - 1].isspace():
+            cut += 1
+        yield text[at:cut].lower().split()
+        at = cut
+
+
 class HashingBackend:
     """Deterministic stand-in for a model: signed hashed words, L2-normalised."""
 
@@ -26,49 +44,60 @@ class HashingBackend:
     def run(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, t in zip(out, texts):
-            for w in t.lower().split():
-                h = crc32(w.encode())
-                row[h % self.dim] += 1 if h & 0x8000_0000 else -1
+            for words in _words(t):
+                for w in words:
+                    h = crc32(w.encode())
+                    row[h % self.dim] += 1 if h & 0x8000_0000 else -1
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 
 
 def embed(df: DataFrame, id_col: str, text_col: str, backend: Backend, max_tokens: int | None = None, batch_tokens: int = 2048) -> DataFrame:
     """(id, v, error): texts go to the backend in batches of about ``batch_tokens``
-    estimated tokens, like lengths together; a text beyond ``max_tokens`` gets an
+    estimated tokens, like lengths together within a megabyte; a text beyond ``max_tokens`` gets an
     error and fails no other."""
     from .tokens import estimate
 
-    def run(frames):
-        for pdf in frames:
-            texts = [t or "" for t in pdf["t"]]
-            sizes = [estimate(t) for t in texts]
-            vectors: list = [None] * len(texts)
-            errors = [f"{n} tokens, at most {max_tokens}" if max_tokens and n > max_tokens else None for n in sizes]
-            batch, used = [], 0
-
-            def flush():
-                if batch:
-                    made = backend.run([texts[i] for i in batch])
-                    if len(made) != len(batch):
-                        raise ValueError(f"the backend returned {len(made)} rows for {len(batch)} texts")
-                    for i, v in zip(batch, made):
-                        vectors[i] = v
-                    batch.clear()
-
-            for i in sorted(range(len(texts)), key=sizes.__getitem__):
-                if errors[i]:
-                    continue
-                if batch and used + sizes[i] > batch_tokens:
-                    flush()
-                    used = 0
-                batch.append(i)
-                used += sizes[i]
-            flush()
-            yield pd.DataFrame({"id": pdf["id"], "v": vectors, "error": errors})
+    def vectors_of(texts: list[str], sizes: list[int]) -> tuple[list, list]:
+        vectors: list = [None] * len(texts)
+        errors = [f"{n} tokens, at most {max_tokens}" if max_tokens and n > max_tokens else None for n in sizes]
+        batch, used = [], 0
+
+        def flush():
+            if batch:
+                made = backend.run([texts[i] for i in batch])
+                if len(made) != len(batch):
+                    raise ValueError(f"the backend returned {len(made)} rows for {len(batch)} texts")
+                for i, v in zip(batch, made):
+                    vectors[i] = v
+                batch.clear()
+
+        for i in sorted(range(len(texts)), key=sizes.__getitem__):
+            if errors[i]:
+                continue
+            if batch and used + sizes[i] > batch_tokens:
+                flush()
+                used = 0
+            batch.append(i)
+            used += sizes[i]
+        flush()
+        return vectors, errors
+
+    def run(batches):
+        for whole in batches:
+            # texts become Python strings a bounded part of the batch at a time
+            size = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+            at = 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, "right")))
+                part = whole.slice(at, to - at)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                vectors, errors = vectors_of(texts, [estimate(t) for t in texts])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=["id", "v", "error"])
+                at = to
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, v array<float>, error string")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, v array<float>, error string")
 
 
 def decode_spans(df: DataFrame, threshold: float) -> DataFrame:

@@ -1,11 +1,12 @@
 import random
 import time
+from zlib import crc32
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrecall.operators import bm25, graph, search
+from sparkrecall.operators import bm25, graph, models, search
 from sparkrecall.operators.best import Best
 from sparkrecall.plans.search import hybrid_search
 from sparkrecall.streaming import doorbell
@@ -145,3 +146,25 @@ def test_wakes_hold_no_group_and_trim_in_one_pass(spark):
     began = time.process_time()
     lost = doorbell.fold([(0.0, "wait", None, None, 1.0)] + [(i / 10, "ring", "b", None, None) for i in range(60_000)] + [(7000.0, "wait", None, None, 1.0)], 1, 1000)[1]
     assert not lost.pending and time.process_time() - began < 5
+
+
+def test_embedding_holds_a_bounded_part_of_a_batch(spark, tmp_path, monkeypatch):
+    text = "A" * 100 + " Ünï  İx\n" + "word " * 40_000 + "z" * 70_000 + " end"
+    whole = np.zeros(16, dtype=np.float32)
+    for w in text.lower().split():
+        h = crc32(w.encode())
+        whole[h % 16] += 1 if h & 0x8000_0000 else -1
+    assert np.allclose(models.HashingBackend(16).run([text, ""]), [whole / np.linalg.norm(whole), np.zeros(16)])
+    assert [len(x) < 20_000 for x in models._words(text)] == [True] * len(list(models._words(text))) and len(list(models._words(text))) > 2
+
+    class Counting(models.HashingBackend):
+        def run(self, texts):
+            assert sum(map(len, texts)) <= 1 << 20
+            return np.full((len(texts), 2), len(texts), dtype=np.float32)
+
+    # short texts that one batch of the backend could hold, but not one part
+    rows = spark.range(2000).selectExpr("id", "if(id % 100 = 3, null, repeat('ab ', 1000)) as t").coalesce(1)
+    got = models.embed(rows, "id", "t", Counting(), batch_tokens=10**9)
+    assert "MapInArrow" in str(got._jdf.queryExecution().executedPlan())
+    got = got.collect()
+    assert len(got) == 2000 and [r["id"] for r in got] == list(range(2000)) and max(r["v"][0] for r in got) < 400
