@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ALNUM = "0-9a-zA-Z"
@@ -34,6 +36,19 @@ GROUPS: dict[str, list[str]] = {
         r"(?U)\b\d\d\d-\d\d-\d{4}\b",
     ],
 }
+#: What a match of a built-in pattern contains: one of these, in small letters if
+#: the pattern knows no case. Only what has them is searched. No i, k or s stands in
+#: the latter, since other letters than I, K and S match those.
+PARTS: dict[str, tuple[str, ...]] = dict(
+    [
+        *zip(GROUPS["api_keys"], [("sk-ant-",), ("sk-proj-",), ("sk-",), ("xai-",), ("AIza",)]),
+        *zip(GROUPS["bearer_tokens"], [("author",), ("bearer",)]),
+        *zip(GROUPS["jwt"], [("eyJ",)]),
+        *zip(GROUPS["aws_keys"], [("AKIA", "ASIA"), ("acce",), ("amz-", "aw"), ("nature",)]),
+        *zip(GROUPS["github_tokens"], [(f"gh{c}_",) for c in "pousr"]),
+        *zip(GROUPS["pii"], [("@",), (), ("-",)]),
+    ]
+)
 ORDER = ("api_keys", "bearer_tokens", "jwt", "aws_keys", "github_tokens", "custom_regex", "pii")
 
 
@@ -77,6 +92,12 @@ def active_groups(spark: SparkSession, config: RedactionConfig) -> list[tuple[st
     return out
 
 
+def _may_match(pattern: str) -> Column:
+    text = F.lower("content") if pattern.startswith("(?iU)") else F.col("content")
+    parts = PARTS.get(pattern, ())
+    return reduce(or_, [text.contains(x) for x in parts]) if parts else F.lit(True)
+
+
 def scrub(df: DataFrame, text: str, config: RedactionConfig) -> DataFrame:
     """Add content, match_count and groups_fired. Each pattern sees the text the
     patterns before it have left."""
@@ -86,9 +107,11 @@ def scrub(df: DataFrame, text: str, config: RedactionConfig) -> DataFrame:
         out = out.withColumn(f"_n_{name}", F.lit(0))
         for p in patterns:
             mark = F.lit(f"[REDACTED:{name}]")
-            keep = [c for c in out.columns if c not in ("content", f"_n_{name}")]
-            n = (F.col(f"_n_{name}") + F.regexp_count("content", F.lit(p))).alias(f"_n_{name}")
-            out = out.select(*keep, n, F.regexp_replace("content", F.lit(p), mark).alias("content"))
+            keep = [c for c in out.columns if c not in ("content", f"_n_{name}", "_hits")]
+            # counted once, and replaced where something was found only
+            out = out.withColumn("_hits", F.when(_may_match(p), F.regexp_count("content", F.lit(p))).otherwise(0))
+            n = (F.col(f"_n_{name}") + F.col("_hits")).alias(f"_n_{name}")
+            out = out.select(*keep, n, F.when(F.col("_hits") > 0, F.regexp_replace("content", F.lit(p), mark)).otherwise(F.col("content")).alias("content"))
         fired.append(name)
     counts = [F.coalesce(F.col(f"_n_{g}"), F.lit(0)) for g in fired]
     total = sum(counts, F.lit(0)) if counts else F.lit(0)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkrecall.functions import redaction
 from sparkrecall.operators import bm25, graph, models, search
 from sparkrecall.operators.best import Best
 from sparkrecall.plans.search import hybrid_search
@@ -168,3 +169,22 @@ def test_embedding_holds_a_bounded_part_of_a_batch(spark, tmp_path, monkeypatch)
     assert "MapInArrow" in str(got._jdf.queryExecution().executedPlan())
     got = got.collect()
     assert len(got) == 2000 and [r["id"] for r in got] == list(range(2000)) and max(r["v"][0] for r in got) < 400
+
+
+def test_texts_without_a_part_of_a_match_are_not_searched(spark):
+    fill = "Ab1" * 20
+    hits = [f"x sk-ant-{fill} sk-proj-{fill}, sk-{fill[:30]} xai-{fill} AIza{fill[:35]}", f"AUTHORIZATıON: Bearer {fill} and BEARER {fill}", f"eyJ{fill}.eyJ{fill}.{fill}", f"AKIA{'Q7' * 8} ASIA{'Q7' * 8}",
+            f"AWS_ſecret_Acceſs_Key = {fill[:40]}", f"X-Amz-Security-ToKen={fill} awſSeſſionToKen {fill} X-AMZ-ſİGNATURE={fill[:20]} ſıgnature={fill[:20]}",
+            " ".join(f"gh{c}_{fill[:36]}" for c in "pousr"), "a.b@c.de (212) 555-0123 and 123-45-6789", "sk- gh_ bearer none - @ 12", "", None]
+    df = spark.createDataFrame(list(enumerate(hits)), "id int, text string")
+    config = redaction.RedactionConfig(patterns=tuple(redaction.GROUPS), redact_pii=True)
+    out = redaction.scrub(df, "text", config)
+    want, n = df.withColumn("content", F.col("text")), F.lit(0)
+    for group in redaction.ORDER:
+        for p in redaction.GROUPS.get(group, ()):
+            want = want.withColumn("n" + str(len(want.columns)), F.coalesce(F.regexp_count("content", F.lit(p)), F.lit(0))).withColumn("content", F.regexp_replace("content", F.lit(p), F.lit(f"[REDACTED:{group}]")))
+    total = sum((F.col(c) for c in want.columns[3:]), F.lit(0))
+    assert out.select("id", "content", "match_count").collect() == want.select("id", "content", total.alias("match_count")).collect()
+    assert all(want.agg(*[F.sum(c) for c in want.columns[3:]]).collect()[0]), "every pattern has a case"
+    assert set(redaction.PARTS) == {p for ps in redaction.GROUPS.values() for p in ps}
+    assert str(out._jdf.queryExecution().optimizedPlan()).count("Contains(") >= 17
